@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encode, pieces, survivor
+from corpusloom.llm import encode, garbled, leaks, pieces, survivor
 from corpusloom.sources.tables import spread, table
 
 
@@ -33,5 +33,21 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p2_pieces, p2_found, p4_survivors, p4_found, p7_ids)}
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(spread(table(spark, folder, "documents").select("doc_id", "text")), table(spark, folder, "eval_case"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.restored(spread(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_restored(spark, folder).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_pieces, p2_found, p4_survivors, p4_found, p7_ids, p8_leaks, p8_found, p9_restored, p9_found)}
 ORACLE: dict[str, str] = {}
