@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encode, garbled, leaks, pieces, survivor
+from corpusloom.llm import answers, encode, garbled, language, leaks, pieces, survivor
 from corpusloom.sources.tables import spread, table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = table(spark, folder, "idea_blocks").select("block_id", "critical_question", "trusted_answer", "language")
+    model = language.fitted(blocks, "block_id", "trusted_answer", "language")
+    return answers.defects(spread(blocks), model)
+
+
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     blocks = pieces.split(table(spark, folder, "idea_blocks"), "idea_blocks", "block_id", "trusted_answer", 500, 50)
     bodies = pieces.split(table(spark, folder, "document_record"), "document_record", "doc_id", "body_markdown", 1500, 150)
@@ -29,6 +35,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.undisputed(table(spark, folder, "raw_merged_block"))
 
 
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "document_record").select("doc_id", "body_markdown", "language")
+    model = language.fitted(docs, "doc_id", "body_markdown", "language")
+    return language.segments(spread(docs), model, "doc_id", "body_markdown")
+
+
+def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return _segments(spark, folder).distinct()
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    spoken = _segments(spark, folder).groupBy("doc_id").agg(F.collect_set("lang_code").alias("codes"))  # at most six
+    labels = table(spark, folder, "document_record").select("doc_id", language.label(F.col("language")).alias("label")).groupBy("doc_id").agg(F.min("label").alias("label"))
+    wrong = (F.size("codes") > 1) | F.col("label").isNull() | (F.col("codes")[0] != F.col("label"))
+    return spoken.join(labels, "doc_id").filter(wrong).select("doc_id", F.explode("codes").alias("lang_code"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -49,5 +72,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_restored(spark, folder).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_pieces, p2_found, p4_survivors, p4_found, p7_ids, p8_leaks, p8_found, p9_restored, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_pieces, p2_found, p4_survivors, p4_found, p6_segments, p6_found, p7_ids, p8_leaks, p8_found, p9_restored, p9_found)}
 ORACLE: dict[str, str] = {}
