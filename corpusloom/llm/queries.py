@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import answers, encode, garbled, language, leaks, pieces, survivor
+from corpusloom.llm import answers, encode, garbled, history, language, leaks, neighbours, pieces, survivor
 from corpusloom.sources.tables import spread, table
 
 
@@ -27,6 +27,16 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.unionByName(bodies).filter("pieces > 1 and piece_no = 1").select("table_name", "item_id").distinct()
 
 
+def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, folder, "pgvector_store"), 5)
+    return near.select(F.col("id").alias("block_id"), F.col("neighbour").alias("neighbour_id"), "score", "place")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, folder, "pgvector_store"), 5)
+    return near.select(F.least("id", "neighbour").alias("block_id_a"), F.greatest("id", "neighbour").alias("block_id_b")).distinct()
+
+
 def p4_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.survivors(table(spark, folder, "raw_merged_block"))
 
@@ -35,6 +45,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.undisputed(table(spark, folder, "raw_merged_block"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = history.had_before(spread(table(spark, folder, "kb_block_state").select("arrival_id", "block_json")), "arrival_id", "block_json", history.block_content, 2)
+    bodies = history.had_before(spread(table(spark, folder, "document_record").select("arrival_id", "body_markdown")), "arrival_id", "body_markdown", history.body_content, 8)
+    named = lambda df, name: df.select(F.lit(name).alias("table_name"), "first_id", "later_id")
+    return named(blocks, "kb_block_state").unionByName(named(bodies, "document_record"))
+
+
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "document_record").select("doc_id", "body_markdown", "language")
     model = language.fitted(docs, "doc_id", "body_markdown", "language")
@@ -72,5 +89,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_restored(spark, folder).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_pieces, p2_found, p4_survivors, p4_found, p6_segments, p6_found, p7_ids, p8_leaks, p8_found, p9_restored, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_pieces, p2_found, p3_nearest, p3_found, p4_survivors, p4_found, p5_found, p6_segments, p6_found, p7_ids, p8_leaks, p8_found, p9_restored, p9_found)}
 ORACLE: dict[str, str] = {}
