@@ -56,7 +56,7 @@ _BARE = [
     re.compile(r"`?[\w.\-/]+`?[ \t]*[=:][ \t]*\S+"),
     re.compile(r"[\d.,:/\-]+[ \t]*[^\W\d_]*(?:[ \t][^\W\d_]+)?", re.U),
     re.compile(r"(?:\|[^\n]*\|\s*)+"),
-    re.compile(r"\S+"),
+    re.compile(r"[!-~]{1,60}|[^\s，。、；：！？…]{1,10}"),
 ]
 
 
@@ -196,7 +196,7 @@ def examined(blocks: DataFrame, model: language.Model) -> DataFrame:
                 # language: only of answers that hold a sentence
                 ask, asked, rests = [], [], []
                 for k, (d, _, rest) in enumerate(found):
-                    if d in (None, "truncated") and questions[k]:
+                    if d in (None, "truncated") and questions[k] and not _bare(rest.strip()):
                         s = _NAME.sub("", rest, count=1)
                         s = language.cleaned(s)
                         if len(language._WORDS.findall(s)) >= 4 or len(language._HAN.findall(s)) >= 5:
