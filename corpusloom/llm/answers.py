@@ -43,7 +43,9 @@ SEEDS = {
     "pt": ["não posso responder a isso", "não tenho acesso a essa informação", "prefiro não comentar este assunto"],
     "zh": ["无法回答这个问题", "这个话题我不便讨论", "没有权限查看相关信息", "根据现有内容不能给出答复"],
 }
-_SEED = re.compile("|".join(rf"\b{re.escape(s)}\b" if k != "zh" else re.escape(s) for k, v in SEEDS.items() for s in v))
+_SEEDS = [s for own in SEEDS.values() for s in own]
+#: Settings, figures and code name no language.
+_CODE = re.compile(r"`[^`]*`|[!-~]*[0-9_][!-~]*")
 _EDGE = " \t\r\n　\xa0​*_\"'“”„«»「」『』‘’`>#~"
 _NAME = re.compile(r"^[^\n:：.!?。]{1,48}[:：][ \t　]*(?=\S)|^关于[^\n，。]{1,48}，")
 _ALNUM = re.compile(r"[\W_]+")
@@ -74,17 +76,9 @@ def _after_question(question: str, answer: str) -> tuple[str, bool]:
         return answer, False
     found = False
     while True:
-        letters, at = [], None
-        size = 0
-        for k, ch in enumerate(answer):
-            f = _ALNUM.sub("", ch.casefold())
-            if f:
-                letters.append(f)
-                size += len(f)
-                if size > len(flat) + 40:
-                    break
-        head = "".join(letters)
-        lead = head.find(flat)
+        at = None
+        # the question with its marks is at the start if it is there at all: no need to look at the whole answer
+        lead = _ALNUM.sub("", answer[: 2 * len(question) + 80].casefold()).find(flat)
         if lead < 0 or lead > 24:
             return answer, found
         if lead:
@@ -122,10 +116,16 @@ def _truncated(answer: str) -> bool:
     return False
 
 
+def _first_clause(s: str) -> str:
+    """The first clause, with the second if it is a mere interjection ("I apologise; ...")."""
+    clauses = [c for c in _CLAUSE.split(s, maxsplit=3)[:3] if c.strip(_EDGE)]
+    return " ".join(clauses[:2]) if clauses and len(clauses[0].split()) < 4 and clauses[0].isascii() else clauses[0] if clauses else ""
+
+
 def _opening(rest: str) -> str | None:
     """The first clause, if it could be a template: no figures, no settings."""
     named = _NAME.sub("", rest, count=1) if _NAME.match(rest) else rest
-    first = next((c for c in _CLAUSE.split(named) if c.strip(_EDGE)), "")
+    first = _first_clause(named)
     if re.search(r"[\d_`=]|\w\.\w", first):
         return None
     w = words(first.replace("’", "'"))
@@ -145,10 +145,8 @@ def examine(question: str | None, answer: str | None) -> tuple[str | None, str |
         return "empty", None, ""
     opening = _opening(rest)
     spoken = rest.casefold().replace("’", "'")
-    clause = next((c for c in _CLAUSE.split(spoken) if c.strip(_EDGE)), "")
-    two = " ".join(_CLAUSE.split(spoken)[:2])
-    seeded = any(_SEED.search(x) and not re.search(r"\d|_", x) for x in (clause, two))
-    if seeded:
+    clause = _first_clause(spoken)
+    if any(s in clause for s in _SEEDS) and not re.search(r"\d|_", clause):
         return "refusal", opening, rest
     return ("truncated" if _truncated(text) else None), opening, rest
 
@@ -198,10 +196,10 @@ def examined(blocks: DataFrame, model: language.Model) -> DataFrame:
                 for k, (d, _, rest) in enumerate(found):
                     if d in (None, "truncated") and questions[k] and not _bare(rest.strip()):
                         s = _NAME.sub("", rest, count=1)
-                        s = language.cleaned(s)
+                        s = _CODE.sub(" ", s)
                         if len(language._WORDS.findall(s)) >= 4 or len(language._HAN.findall(s)) >= 5:
                             ask.append(k)
-                            asked.append(language.cleaned(questions[k]))
+                            asked.append(_CODE.sub(" ", questions[k]))
                             rests.append(s)
                 for k, (ql, _, qd), (al, ap, ad) in zip(ask, m.decide(asked), m.decide(rests)):
                     if ql != al and qd > language.LEAD and ad > language.LEAD and ap > language.SURE:
