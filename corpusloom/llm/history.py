@@ -18,7 +18,7 @@ blocks, so no task takes more than two blocks of a key.
 Equal multisets are one class, under their earliest row, before pairs are made; so copies aren't expanded into pairs.
 Surviving pairs are verified by their true distance. A row's first_id is the earliest row whose class is within the bound of its own.
 
-History keeps two tables in its folder, appended for each batch: classes (key of the class, earliest id, pivots, words) and postings.
+History keeps two tables in its folder, appended for each batch: classes (number, earliest id, pivots, words) and postings.
 A batch is joined with the stored postings; the texts of older batches are never read again.
 
 Unreadable JSON, null and blank contents, and contents without a word, are never cases nor history. Null ids are left out.
@@ -39,6 +39,8 @@ from corpusloom.llm.words import words
 from corpusloom.plans.lineage import written
 
 SHARE, CLASS_BITS, HOT = 0.2, 18, 4000
+#: Classes whose numbers may be sent to every executor (8 bytes each); more are joined by a shuffle.
+SENT = 500_000
 
 
 def block_content(text: str) -> str | None:
@@ -126,19 +128,30 @@ def classes(table: DataFrame) -> DataFrame:
     return first.select("class", "r.id", "r.n", "r.parity", "r.tokens")
 
 
-def postings(reps: DataFrame, counts: np.ndarray, longs: int) -> DataFrame:
-    """(key, block, id, n, p0..): the rarest words of each class, as many as the bound needs; hot keys by blocks."""
-    shared = reps.sparkSession.sparkContext.broadcast(counts)
+def postings(table: DataFrame, counts: np.ndarray, longs: int) -> DataFrame:
+    """(key, block, other, class, n, p0..): the rarest words of each class, as many as the bound needs.
+
+    A class comes once from each partition, however many of its rows are there. A hot key has blocks; a row is in one of them
+    and goes to each pair of blocks with it, once.
+    """
+    shared = table.sparkSession.sparkContext.broadcast(counts)
     names = [f"p{k}" for k in range(longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
+        seen: set[int] = set()
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
-                if not part.num_rows:
+                fresh = []
+                for k, c in enumerate(part.column("class").to_pylist()):
+                    if c not in seen:
+                        seen.add(c)
+                        fresh.append(k)
+                if not fresh:
                     continue
-                ids, n = part.column("id").to_numpy(), part.column("n").to_numpy()
+                part = part.take(pa.array(fresh))
+                own, n = part.column("class").to_numpy(), part.column("n").to_numpy()
                 tokens = part.column("tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint32)
                 parity = part.column("parity").flatten().to_numpy(zero_copy_only=False).reshape(-1, longs)
                 row = np.repeat(np.arange(len(n)), n)
@@ -148,36 +161,94 @@ def postings(reps: DataFrame, counts: np.ndarray, longs: int) -> DataFrame:
                 need = n - np.array([math.ceil((1 - SHARE) * int(x) - 1e-9) for x in n]) + 1
                 take = order[place < need[row]]
                 row, key, f = row[take], tokens[take].view(np.int32), f[take]
-                blocks = np.maximum(1, -(-f // HOT)).astype(np.int64)
-                own = ids[row] % blocks
+                blocks = np.maximum(1, -(-f // HOT))
+                copies = np.repeat(np.arange(len(row)), blocks)
+                other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                row, key = row[copies], key[copies]
+                block = own[row] % blocks[copies]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(own.astype(np.int32)), pa.array(blocks.astype(np.int32)), pa.array(ids[row]), pa.array(n[row]), *[pa.array(parity[row, k]) for k in range(longs)]],
-                    names=["key", "block", "blocks", "id", "n", *names],
+                    [pa.array(key), pa.array((np.minimum(block, other) * (1 << 15) + np.maximum(block, other)).astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(own[row]), pa.array(n[row]), *[pa.array(parity[row, k]) for k in range(longs)]],
+                    names=["key", "cell", "block", "class", "n", *names],
                 )
 
-    schema = "key int, block int, blocks int, id bigint, n int, " + ", ".join(f"{p} bigint" for p in names)
-    return reps.select("id", "n", "parity", "tokens").mapInArrow(run, schema)
+    schema = "key int, cell int, block int, class bigint, n int, " + ", ".join(f"{p} bigint" for p in names)
+    return table.select("class", "n", "parity", "tokens").mapInArrow(run, schema)
+
+
+def _near(keyed: DataFrame, longs: int) -> DataFrame:
+    """(a, b), a < b: classes that share a key and that the pivots don't tell apart.
 
+    The postings are partitioned and sorted by key and cell; within a partition, rows at every distance in the same cell
+    are compared at once. Rows marked old are not compared with each other.
+    """
+    names = [f"p{k}" for k in range(longs)]
+    marked = keyed if "old" in keyed.columns else keyed.withColumn("old", F.lit(False))
+
+    def compare(columns: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        group = (columns["key"].astype(np.int64) << 32) | columns["cell"].astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(np.append(starts, len(group)))
+        left = np.repeat(sizes, sizes) - (np.arange(len(group)) - np.repeat(starts, sizes)) - 1  # rows of the cell after this one
+        c, n, block, cell, old = (columns[x] for x in ("class", "n", "block", "cell", "old"))
+        pivots = [columns[x].view(np.uint64) for x in names]
+        i = np.flatnonzero(left > 0)
+        lag = 0
+        while len(i):
+            lag += 1
+            j = i + lag
+            larger = np.maximum(n[i], n[j])
+            bound = (larger * SHARE + 1e-9).astype(np.int32)
+            near = (np.minimum(n[i], n[j]) >= larger - bound) & (c[i] != c[j]) & ~(old[i] & old[j])
+            near &= (block[i] != block[j]) | (cell[i] == block[i] * ((1 << 15) + 1))
+            x, y, bound = i[near], j[near], bound[near]
+            apart = np.zeros(len(x), np.int32)
+            for p in pivots:
+                apart += np.bitwise_count(p[x] ^ p[y])
+            x, y = x[apart <= 2 * bound], y[apart <= 2 * bound]
+            if len(x):
+                yield np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
+            i = i[left[i] > lag]
 
-def _near(new: DataFrame, old: DataFrame, longs: int) -> DataFrame:
-    """(a, b) of postings that share a key and that the pivots don't tell apart, a from old and b from new."""
-    # a block of a hot key meets every other block of it: one side is repeated for each block
-    spread = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    plain_new = new.withColumn("meets", F.col("block"))
-    plain_old = old.withColumn("meets", spread)
-    a, b = plain_old.alias("a"), plain_new.alias("b")
-    apart = F.lit(0)
-    for k in range(longs):
-        apart = apart + F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}")))
-    larger, smaller = F.greatest("a.n", "b.n"), F.least("a.n", "b.n")
-    bound = F.floor(larger * SHARE + 1e-9)
-    within = (smaller >= larger - bound) & (apart <= 2 * bound)
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.meets") == F.col("b.meets")) & (F.col("a.id") != F.col("b.id")) & within).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        rows = 0
 
+        def done(whole: pa.Table) -> Iterator[pa.RecordBatch]:
+            columns = {x: whole.column(x).to_numpy() for x in whole.column_names}
+            found = list(compare(columns)) if whole.num_rows > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*found)], names=["a", "b"])
 
-def _verified(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+        for batch in batches:
+            kept.append(batch)
+            rows += batch.num_rows
+            if rows < 200_000:
+                continue
+            whole = pa.Table.from_batches(kept)
+            key, cell = whole.column("key").to_numpy(), whole.column("cell").to_numpy()
+            last = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
+            yield from done(whole.slice(0, cut))
+            kept = whole.slice(cut).combine_chunks().to_batches()
+            rows = whole.num_rows - cut
+        if kept:
+            yield from done(pa.Table.from_batches(kept))
+
+    ordered = marked.repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _texts(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, tokens) of the wanted classes. Few of them are sent to the table, many are joined with it."""
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
+    return table.select("class", "tokens").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+
+
+def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """Pairs whose true distance is within the bound."""
-    x, y = old.select(F.col("id").alias("a"), F.col("tokens").alias("x")), new.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    texts = _texts(table, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    x, y = texts.select(F.col("class").alias("a"), F.col("tokens").alias("x")), texts.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
     larger = F.greatest(F.size("x"), F.size("y"))
     distance = larger - F.size(F.array_intersect("x", "y"))
     return pairs.join(x, "a").join(y, "b").filter(distance <= F.floor(larger * SHARE + 1e-9)).select("a", "b")
@@ -186,14 +257,13 @@ def _verified(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
 def had_before(rows: DataFrame, id_col: str, text_col: str, content: Callable[[str], str | None], longs: int) -> DataFrame:
     """(first_id, later_id) over a whole table: what ingesting its rows in the order of their ids would report."""
     table = written(features(rows, id_col, text_col, content, longs), "pivots")
-    reps = classes(table)
-    keyed = postings(reps, word_counts(table), longs)
-    # class a is the earlier one: only it can be the first of the other
-    pairs = _near(keyed, keyed, longs).filter("a < b").distinct()
-    close = written(_verified(pairs, table, table), "near")
-    earliest = close.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("near"))
-    heads = table.groupBy("class").agg(F.min("id").alias("rep"))
-    first = heads.join(earliest, "rep", "left").select("class", F.coalesce("near", "rep").alias("first_id"))
+    keyed = postings(table, word_counts(table), longs)
+    pairs = written(_near(keyed, longs), "pairs")
+    close = written(_verified(pairs, table), "near")
+    heads = table.groupBy("class").agg(F.min("id").alias("head"))
+    either = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    earliest = either.join(heads.withColumnRenamed("class", "a"), "a").groupBy(F.col("b").alias("class")).agg(F.min("head").alias("near"))
+    first = heads.join(earliest, "class", "left").select("class", F.least("head", "near").alias("first_id"))
     return table.select("id", "class").join(first, "class").filter("id > first_id").select("first_id", F.col("id").alias("later_id"))
 
 
@@ -224,18 +294,23 @@ class History:
         reps = written(classes(table), "classes")
         keyed = written(postings(reps, counts, self.longs), "postings")
         old_reps, old_keyed = self._stored("classes"), self._stored("postings")
-        inner = _near(keyed, keyed, self.longs).filter("a < b").distinct()
-        close = _verified(inner, reps, reps)
+        heads = reps.select("class", F.col("id").alias("head"))
+        known = reps.select("class", "tokens") if old_reps is None else reps.select("class", "tokens").unionByName(old_reps.select("class", "tokens"))
+        both = keyed.withColumn("old", F.lit(False))
+        if old_keyed is not None:  # only the keys of the batch are looked up
+            both = both.unionByName(old_keyed.join(keyed.select("key", "cell").distinct(), ["key", "cell"], "left_semi").select(keyed.columns).withColumn("old", F.lit(True)))
+        close = written(_verified(written(_near(both, self.longs), "pairs"), known), "near")
+        either = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = either.join(heads.withColumnRenamed("class", "a"), "a").select("b", "head")
         if old_reps is not None:
-            close = close.unionByName(_verified(_near(keyed, old_keyed, self.longs).distinct(), old_reps, reps))
-            same = reps.select("class", F.col("id").alias("b")).join(old_reps.select("class", F.col("id").alias("a")), "class").select("a", "b")
-            close = close.unionByName(same)
-        close = written(close, "near")
-        earliest = close.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("near"))
-        first = reps.select("class", F.col("id").alias("rep")).join(earliest, "rep", "left").select("class", F.coalesce("near", "rep").alias("first_id"))
+            before = old_reps.select(F.col("class").alias("a"), F.col("id").alias("head"))
+            near = near.unionByName(either.join(before, "a").select("b", "head"))
+            near = near.unionByName(heads.select(F.col("class").alias("a"), F.col("class").alias("b")).join(before, "a").select("b", "head"))
+        earliest = near.groupBy(F.col("b").alias("class")).agg(F.min("head").alias("near"))
+        first = heads.join(earliest, "class", "left").select("class", F.least("head", "near").alias("first_id"))
         found = written(table.select("id", "class").join(first, "class").filter("id > first_id").select("first_id", F.col("id").alias("later_id")), "found")
         known = reps if old_reps is None else reps.join(old_reps.select("class"), "class", "left_anti")
         known = written(known, "new")
-        keyed.join(known.select("id"), "id", "left_semi").select(keyed.columns).write.mode("append").parquet(f"{self.folder}/postings")
+        keyed.join(known.select("class"), "class", "left_semi").select(keyed.columns).write.mode("append").parquet(f"{self.folder}/postings")
         known.write.mode("append").parquet(f"{self.folder}/classes")
         return found

@@ -46,7 +46,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    blocks = history.had_before(spread(table(spark, folder, "kb_block_state").select("arrival_id", "block_json")), "arrival_id", "block_json", history.block_content, 2)
+    blocks = history.had_before(spread(table(spark, folder, "kb_block_state").select("arrival_id", "block_json")), "arrival_id", "block_json", history.block_content, 3)
     bodies = history.had_before(spread(table(spark, folder, "document_record").select("arrival_id", "body_markdown")), "arrival_id", "body_markdown", history.body_content, 8)
     named = lambda df, name: df.select(F.lit(name).alias("table_name"), "first_id", "later_id")
     return named(blocks, "kb_block_state").unionByName(named(bodies, "document_record"))
