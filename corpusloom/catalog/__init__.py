@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["cleaning", "text", "vectors", "clusters", "keywords", "lexical", "questions", "reading", "stores", "evaluation"]
+MODULES = ["cleaning", "text", "vectors", "clusters", "keywords", "lexical", "questions", "reading", "stores", "evaluation", "sources", "jobs"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

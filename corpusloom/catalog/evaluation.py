@@ -115,7 +115,7 @@ _ALL = f"(select q.vec_id as query_id, d.vec_id as block_id, {DOT} as score from
 
 
 def _tier_sql() -> str:
-    sizes = "(with recursive s as (select 0 as tier, 100 as tier_size union all select tier + 1, least(500, ceil(tier_size * 1.25)::int) from s where tier_size < 500) select * from s)"
+    sizes = "(with recursive s as (select 0 as tier, 100 as tier_size union all select tier + 1, least((select count(*)::int from embeddings), ceil(tier_size * 1.25)::int) from s where tier_size < (select count(*) from embeddings)) select * from s)"
     return f"""with ranked as materialized (select tier, tier_size, query_id, block_id, score, row_number() over (partition by tier, query_id order by score desc, block_id) as rank from {_ALL} join {sizes} on block_id < tier_size),
     hits as (select tier, query_id, min(rank) as first from ranked join {_NEXT} using (query_id, block_id) where rank <= 5 group by all),
     tops as (select tier, query_id, max(score) filter (rank = 1) as top from ranked where rank <= 5 group by all)
@@ -125,11 +125,12 @@ def _tier_sql() -> str:
 
 def _tiers(spark, folder):
     v, q = vectors(spark, folder), asked(spark, folder)
-    sizes = E.tier_sizes(100, 500)
+    n = v.count()
+    sizes = E.tier_sizes(100, n)
     ordinals = v.select("block_id", F.col("block_id").alias("ordinal"))
     scored = q.select("query_id", F.col("vector").alias("q"))
-    # the stated queries against all rows of the largest tier, by partitions of the rows
-    ranked = similarity.nearest(q, v.filter("block_id < 500"), 500).select("query_id", "block_id", "score")
+    # the stated queries against all rows, by partitions of the rows
+    ranked = similarity.nearest(q, v, n).select("query_id", "block_id", "score")
     tiers = E.in_tiers(ranked, ordinals, sizes, 5)
     every = scored.select("query_id", F.explode(F.array(*[F.lit(n) for n in range(len(sizes))])).alias("tier"))
     return tiers, every

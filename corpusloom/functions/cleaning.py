@@ -16,6 +16,11 @@ Rule = Callable[[Column], Column]
 SPACE = r" \t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends, as Python's strip."""
+    return F.regexp_replace(c, rf"\A[{SPACE}\n]+|[{SPACE}\n]+\z", "")
+
+
 def strip_bom(c: Column) -> Column:
     return F.regexp_replace(c, r"\A\x{FEFF}+", "")
 
