@@ -105,7 +105,10 @@ class Model:
                 for at in range(0, len(own), 200):
                     keys, _ = _grams(own[at : at + 200])
                     counts[lang] += np.bincount(keys.ravel(), minlength=1 << BITS)
-            log = np.log(counts + 0.05) - np.log(counts.sum(axis=1, keepdims=True) + 0.05 * (1 << BITS))
+            # counts per million, so that n-grams nobody has seen cost the same in languages of few and of many rows
+            total = counts.sum(axis=1, keepdims=True)
+            per_million = counts / np.maximum(total, 1) * 1e6
+            log = np.where(total > 0, np.log(per_million + 0.05) - np.log(1e6 + 0.05 * (1 << BITS)), -30.0)
             model = Model(np.ascontiguousarray(log.T, np.float32))
             best, _ = model.score(texts)
             keep = [i for i in range(len(texts)) if best[i].argmax() == labels[i]]
