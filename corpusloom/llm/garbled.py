@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAIR_BITS, USUAL, ROUNDS = 18, 1.0, 4
+PAIR_BITS, USUAL, ROUNDS = 20, 1.0, 4
 CODECS = ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "gb18030", "cp1254", "iso8859_15", "cp866", "koi8_r", "iso8859_2", "big5"]
+#: Codecs under which bytes of Western text were read one by one, and bits of gain that a document needs in all and in one place.
+SINGLE, GAIN, PLACE = ["cp850", "mac_roman", "cp437", "cp1250", "cp1251", "koi8_r"], 12.0, 6.0
 _QUOTED = re.compile(r"`[^`\n]+`")
 _STRETCH = re.compile(r"[^\x00-\x7f]+")
 #: Scripts and controls that chance makes of two Latin characters.
-_ODD = re.compile(r"[\x80-\x9f\u0180-\u02c5\u02d0-\u036f\u0500-\u05ff\u0700-\u08ff\u0e80-\u0eff\ue000-\uf8ff]")
+_ODD = re.compile("[\u0180-\u02c5\u02d0-\u036f\u0500-\u05ff\u0700-\u08ff\u0980-\u1dff\ue000-\uf8ff]")
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 
 
@@ -67,6 +69,7 @@ class Restorer:
         self.char = np.log2(total) - np.log2(chars + 0.5)
         self.pair, self.char = self.pair.astype(np.float32), self.char.astype(np.float32)
         self.known: dict[str, tuple[str, str] | None] = {}
+        self.places: dict[tuple[str, str, str], dict[str, tuple[float, str]]] = {}
 
     def scores(self, c: np.ndarray) -> np.ndarray:
         """One less than the characters."""
@@ -137,6 +140,8 @@ class Restorer:
                     continue
                 if rest and not wide and rest > valid:
                     continue
+                if rest and not wide and any(_ODD.search(x := m[0].decode("utf-8")) or "\u0900" <= x <= "\u097f" or "\u0a00" <= x <= "\u0a7f" for m in sequences):
+                    continue
                 if rest == 0:
                     text = raw.decode("utf-8")
                 elif wide:
@@ -163,6 +168,63 @@ class Restorer:
             self.known[s] = found
         return found
 
+    def bits(self, s: str) -> float:
+        """Self-information of the pairs of s."""
+        c = _codes(s)
+        return float(self.pair[_slot(c[:-1], c[1:])].sum())
+
+    def swapped(self, left: str, s: str, right: str) -> dict[str, tuple[float, str]]:
+        """For each codec of SINGLE: bits that reading the stretch's bytes as Western text would gain in its context, and that text."""
+        key = (left, s, right)
+        if key in self.places:
+            return self.places[key]
+        out: dict[str, tuple[float, str]] = {}
+        before = None
+        for codec in SINGLE:
+            try:
+                text = s.encode(codec).decode("cp1252")
+            except UnicodeError:
+                continue
+            if before is None:
+                before = self.bits(left + s + right)
+            if text[-1].islower() and right.isupper() or text[0].islower() and left.isupper():
+                continue  # small letters within capitals
+            gain = before - self.bits(left + text + right)
+            if gain > 0:
+                out[codec] = (gain, text)
+        if len(self.places) < 400_000:
+            self.places[key] = out
+        return out
+
+    def western(self, text: str) -> tuple[str, str] | None:
+        """(text, codec) if the bytes of Western text were read under another single-byte codec, as the gains of all places together show."""
+        quoted, q = [m.span() for m in _QUOTED.finditer(text)], 0
+        found: list[tuple[int, int, dict]] = []
+        for m in _STRETCH.finditer(text):
+            low, high = m.span()
+            while q < len(quoted) and quoted[q][1] <= low:
+                q += 1
+            if q < len(quoted) and quoted[q][0] < low < quoted[q][1]:
+                continue
+            left, right = text[low - 1 : low] or "\n", text[high : high + 1] or "\n"
+            if high - low <= 8 and (gains := self.swapped(left, m[0], right)):
+                found.append((low, high, gains))
+        best = None
+        for codec in SINGLE:
+            own = [(low, high, *g[codec]) for low, high, g in found if codec in g]
+            within = [gain for low, high, gain, _ in own if text[max(0, low - 1) : low].isalpha() or text[high : high + 1].isalpha()]
+            total = sum(gain for _, _, gain, _ in own)
+            if within and max(within) >= PLACE and total >= GAIN and (best is None or total > best[0]):
+                best = (total, codec, own)
+        if best is None:
+            return None
+        out, at = [], 0
+        for low, high, _, new in best[2]:
+            out += [text[at:low], new]
+            at = high
+        self.total = best[0]
+        return "".join(out) + text[at:], best[1]
+
     def restore(self, text: str | None) -> tuple[str, list[str], bool] | None:
         """(text as far as it can be had, codecs, whether all of it); None for a sound text."""
         if not text or text.isascii():
@@ -207,6 +269,9 @@ class Restorer:
             if not changed:
                 break
             text = "".join(out) + text[at:]
+        if got := self.western(text):
+            text = got[0]
+            codecs.append(got[1])
         if not codecs and not lost:
             return None
         return text, codecs, not lost and "�" not in text

@@ -5,7 +5,7 @@ evaluation passage and their positions (other words only move the positions). Ho
 the whole corpus is summed from it. A passage of at least RUN words of which at most one in eight differs holds SEED
 unchanged words in a row; so the positional lists of every such phrase of the references are intersected, adjusted by
 their offsets and beginning with the phrase's rarest term. Each hit is then verified around its place: exactly (RUN words
-of the reference on one diagonal, up to RUN/8 of them different) or by proximity (words dropped or added as well, by an
+or more of the reference on one diagonal, up to one in eight of them different, the first and the last the same) or by proximity (words dropped or added as well, by an
 edit distance of up to RUN/8).
 
 Text that stands in the references of several items (SHARED words in a row) is left out, and so are the queries.
@@ -26,6 +26,8 @@ from corpusloom.llm.words import words
 from corpusloom.plans.lineage import written
 
 RUN, WRONG, SEED, SHARED, BLOCK = 24, 3, 6, 10, 5000
+#: Lengths of the windows that are compared; longer passages hold one of these.
+LENGTHS = range(RUN, RUN + 8)
 _SHIFT = 3
 
 
@@ -37,7 +39,7 @@ class Passages:
         tokens = [words(r) for _, r in texts]
         self.term = {w: n for n, w in enumerate(sorted({w for t in tokens for w in t}))}
         self.item = np.array([i for i, _ in texts], dtype=np.int64)
-        pad = RUN + 8
+        pad = 2 * LENGTHS[-1]
         self.owner = np.full(sum(len(t) + pad for t in tokens) + pad, -1, dtype=np.int32)
         self.ref = np.full(len(self.owner), -2, dtype=np.int32)
         owners: dict[tuple, set[int]] = {}
@@ -119,7 +121,7 @@ def _edits(ref: np.ndarray, doc: np.ndarray) -> int:
 
 def _matches(p: Passages, ids: list, terms: list, places: list) -> Iterator[tuple]:
     """(document, item, first word of the reference, whether on one diagonal) for each document and item."""
-    gap = RUN + 8
+    gap = 2 * LENGTHS[-1]
     lengths = np.array([x[-1] + 1 for x in places])
     base = np.concatenate([[gap], gap + np.cumsum(lengths + gap)])
     dense = np.full(base[-1] + gap, -1, np.int32)
@@ -153,7 +155,7 @@ def _matches(p: Passages, ids: list, terms: list, places: list) -> Iterator[tupl
     # one hit for each document, item, diagonal and stretch of SEED words
     _, once = np.unique(np.stack([doc, item, ref_at - doc_at, ref_at // SEED]), axis=1, return_index=True)
     done: set[tuple[int, int]] = set()
-    side = np.arange(-(RUN - SEED), RUN)
+    side = np.arange(-(LENGTHS[-1] - SEED), LENGTHS[-1])
     for part in np.array_split(once, max(1, len(once) // 20_000)):
         r, d = ref_at[part, None] + side, doc_at[part, None] + side
         want = p.ref[r]
@@ -163,16 +165,18 @@ def _matches(p: Passages, ids: list, terms: list, places: list) -> Iterator[tupl
         for s in range(1, _SHIFT + 1):
             near |= inside & ((dense[d - s] == want) | (dense[d + s] == want))
         # a window holds words of this item alone, none of them shared with others
-        count = lambda m: np.lib.stride_tricks.sliding_window_view(m, RUN, axis=1).sum(axis=2)
-        whole = count(inside) == RUN
-        on_one = whole & (count(exact) >= RUN - WRONG)
-        close = whole & (count(near) >= RUN - WRONG)
-        for k in np.flatnonzero(on_one.any(axis=1)):
+        count = lambda m, n=RUN: np.lib.stride_tricks.sliding_window_view(m, n, axis=1).sum(axis=2)
+        ends = lambda m, n=RUN: m[:, : m.shape[1] - n + 1] & m[:, n - 1 :]
+        on_one = np.zeros(len(r), bool)
+        for n in LENGTHS:
+            on_one |= ((count(inside, n) == n) & (count(exact, n) >= n - n // 8) & ends(exact, n)).any(axis=1)
+        close = (count(inside) == RUN) & (count(near) >= RUN - WRONG) & ends(near)
+        for k in np.flatnonzero(on_one):
             key = (int(doc[part[k]]), int(item[part[k]]))
             if key not in done:
                 done.add(key)
                 yield ids[key[0]], int(p.item[key[1]]), True
-        for k in np.flatnonzero(close.any(axis=1) & ~on_one.any(axis=1)):
+        for k in np.flatnonzero(close.any(axis=1) & ~on_one):
             key = (int(doc[part[k]]), int(item[part[k]]))
             if key in done:
                 continue

@@ -157,11 +157,11 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "block_id", vector_col
     # members of groups of equal vectors: the k smallest others of the own group first, then the k smallest of each neighbouring group
     by_vector = singles.join(groups.filter("n > 1").select("v", "head"), "v").select("head", "id")
     if by_vector.isEmpty():
-        return top.select(F.col("head").alias("id"), F.col("near").alias("neighbour"), "score", F.row_number().over(order).alias("place"))
+        return top.withColumn("place", F.row_number().over(order)).select(F.col("head").alias("id"), F.col("near").alias("neighbour"), "score", "place")
     first = by_vector.withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy("id"))).filter(F.col("r") <= k + 1).groupBy("head").agg(F.sort_array(F.collect_list("id")).alias("first"))
     shown = top.join(first.select(F.col("head").alias("near"), F.col("first").alias("copies")), "near", "left").select("head", F.explode(F.coalesce("copies", F.array("near"))).alias("near"), "score")
     inside = first.select("head", F.explode("first").alias("near"), F.lit(1.0).cast("float").alias("score"))
     ids = groups.select("head", F.col("head").alias("id")).join(first.select("head").withColumn("copied", F.lit(True)), "head", "left").filter("copied is null").select("head", "id").unionByName(by_vector)
     all_pairs = shown.unionByName(inside).join(ids, "head").filter("near != id")
     last = Window.partitionBy("id").orderBy(F.desc("score"), "near")
-    return all_pairs.select("id", F.col("near").alias("neighbour"), "score").withColumn("place", F.row_number().over(last)).filter(F.col("place") <= k)
+    return all_pairs.withColumn("place", F.row_number().over(last)).filter(F.col("place") <= k).select("id", F.col("near").alias("neighbour"), "score", "place")
