@@ -1,8 +1,8 @@
 """Problem 3: the k most similar vectors of every vector, by collision counting.
 
-A bounded sample of vectors (ROUTES at most, chosen by hash) is the set of routes. Every vector is stored in the cell of
+Routes are the centres of a k-means on a bounded sample of vectors (at most SAMPLE rows, ROUTES centres). Every vector is stored in the cell of
 its nearest route and asks the PROBES cells of its nearest routes, so that the work grows with the vectors, not with
-their square; the sample grows with the collection (one route for CELL vectors). A cell above CELL_MOST vectors is cut
+their square; there is one route for CELL vectors. A cell above CELL_MOST vectors is cut
 into blocks by hash, and who asks the cell asks every block: nothing is left out.
 
 Within a block the vectors are projected on PROJECTIONS random lines; the projections on each line are one sorted array. A query's window
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.plans.lineage import written
 
-DIMENSIONS, PROJECTIONS, PROBES = 96, 32, 3
-ROUTES, CELL, CELL_MOST = 4096, 1500, 8192
+DIMENSIONS, PROJECTIONS, PROBES = 96, 32, 4
+ROUTES, CELL, CELL_MOST = 16_384, 1000, 8192
+#: The sample that the routes are fitted on: rows in all, rows for each route, rounds.
+SAMPLE, SAMPLE_EACH, ROUNDS = 65_536, 150, 8
 #: Unit distances at which windows are tried; half-width of a window for each of them, and hits needed of PROJECTIONS.
 RADII = (0.3, 0.55, 0.9)
 HALF_WIDTH, HITS = 1.1, 0.5
@@ -49,11 +51,22 @@ def _units(column: pa.Array) -> np.ndarray:
 
 
 def routes(distinct: DataFrame) -> np.ndarray:
-    """The bounded sample: at most ROUTES unit vectors, about one for CELL rows."""
+    """At most ROUTES unit vectors, about one for CELL rows: spherical k-means on a bounded sample, the rows of smallest hash."""
     n = distinct.count()
     want = min(ROUTES, max(1, n // CELL))
-    rows = distinct.select("v").orderBy(F.xxhash64("v", F.lit(11))).limit(want).collect()
-    return _units(pa.array([r.v for r in rows], pa.list_(pa.float32()))) if rows else np.zeros((0, DIMENSIONS), np.float32)
+    column = distinct.select("v").orderBy(F.xxhash64("v", F.lit(11))).limit(min(SAMPLE, SAMPLE_EACH * want)).toArrow().column("v").combine_chunks()
+    if not len(column):
+        return np.zeros((0, DIMENSIONS), np.float32)
+    sample = _units(column)
+    centres = sample[:want].copy()
+    for _ in range(ROUNDS):
+        home = np.concatenate([(sample[at : at + 2000] @ centres.T).argmax(axis=1) for at in range(0, len(sample), 2000)])
+        order = np.argsort(home, kind="stable")
+        cells, first = np.unique(home[order], return_index=True)
+        sums = np.add.reduceat(sample[order], first, axis=0)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres[cells] = np.where(length > 0, sums / np.maximum(length, 1e-12), centres[cells])
+    return centres
 
 
 def _nearest(queries: np.ndarray, data: np.ndarray, same: np.ndarray, home: np.ndarray, lines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +130,8 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "block_id", vector_col
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 cosine = _units(part.column(1)) @ shared.value.T
                 near = np.argpartition(-cosine, probes - 1, axis=1)[:, :probes] if probes < len(chosen) else np.tile(np.arange(probes), (len(cosine), 1))
                 home = cosine.argmax(axis=1)

@@ -90,4 +90,32 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_pieces, p2_found, p3_nearest, p3_found, p4_survivors, p4_found, p5_found, p6_segments, p6_found, p7_ids, p8_leaks, p8_found, p9_restored, p9_found)}
-ORACLE: dict[str, str] = {}
+_SPACE = r" \t\n\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _strip(c: str) -> str:
+    return rf"regexp_replace({c}, '\A[{_SPACE}]+|[{_SPACE}]+\z', '', 'g')"
+
+
+def _entries(c: str, more: str = "") -> str:
+    return f"nullif(len(list_distinct(list_filter(list_transform({c}, lambda x: upper({_strip('x')})), lambda x: x <> ''{more}))), 0)"
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+#: Where SQL can say it on whole tables; the other problems are tested against brute force, round trips and held-out texts.
+ORACLE: dict[str, str] = {
+    "p2_found": f"""select 'idea_blocks' as table_name, block_id as item_id from idea_blocks where length({_strip('trusted_answer')}) > 500
+        union select 'document_record', doc_id from document_record where length({_strip('body_markdown')}) > 1500""",
+    "p4_found": f"""with r as (select distinct on (record_id) * from raw_merged_block where group_id is not null),
+        s as (select group_id, record_id, coalesce(trust, -1) as t, coalesce(updated_at, timestamptz '0001-01-01 00:00:00+00') as u, unnest([
+            {{'f': 'trusted_answer', 'n': case when lower(regexp_replace(trusted_answer, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) not in ({_quoted(survivor.STAND_INS)}) and length({_strip('trusted_answer')}) <= 500 then length({_strip('trusted_answer')}) end}},
+            {{'f': 'tags', 'n': {_entries('tags', f" and x in ({_quoted(survivor.TAGS)})")}}},
+            {{'f': 'entities', 'n': {_entries('list_transform(entities, lambda e: e.entity_name)')}}},
+            {{'f': 'keywords', 'n': {_entries('keywords')}}}]) as x from r),
+        m as (select group_id, x.f as f, max(x.n) as n, max(t) as t, max(u) as u from s where x.n is not null group by all),
+        g as (select group_id from r group by 1 having count(*) > 1)
+        select s.group_id, m.f as field_name, min(record_id) as record_id from s join m on m.group_id = s.group_id and m.f = s.x.f and m.n = s.x.n and m.t = s.t and m.u = s.u where s.group_id in (select group_id from g) group by 1, 2 having count(*) = 1""",
+}
