@@ -23,7 +23,7 @@ def op57(spark, folder):
     return graph.components(vectors(spark, folder), _edges(spark, folder))
 
 
-@query("op58_cluster_confidence", f"{COMPONENTS} select cluster_id, size, round(coalesce(c, 1.0), 6) as confidence from (select cluster_id, count(*) as size from label group by 1) s left join (select cluster_id, avg(score) as c from e join label on label.block_id = e.a group by 1) i using (cluster_id)")
+@query("op58_cluster_confidence", f"{COMPONENTS} select cluster_id, size, round(coalesce(c, 1.0), 4) as confidence from (select cluster_id, count(*) as size from label group by 1) s left join (select cluster_id, avg(score) as c from e join label on label.block_id = e.a group by 1) i using (cluster_id)")
 def op58(spark, folder):
     edges = _edges(spark, folder)
     return graph.confidence(graph.components(vectors(spark, folder), edges), edges)

@@ -37,7 +37,7 @@ def components(nodes: DataFrame, edges: DataFrame, id_col: str = "block_id", rou
     return nodes.select(id_col).distinct().join(label.withColumnRenamed("u", id_col), id_col, "left").select(id_col, F.coalesce("cluster_id", id_col).alias("cluster_id"))
 
 
-def confidence(labels: DataFrame, edges: DataFrame, id_col: str = "block_id", digits: int = 6) -> DataFrame:
+def confidence(labels: DataFrame, edges: DataFrame, id_col: str = "block_id", digits: int = 4) -> DataFrame:
     """(cluster_id, size, confidence): mean score of the edges inside, 1 where there are none."""
     a = labels.select(F.col(id_col).alias("a"), "cluster_id")
     inside = edges.join(a, "a").groupBy("cluster_id").agg(F.avg("score").alias("c"))

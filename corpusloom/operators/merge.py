@@ -13,6 +13,8 @@ from corpusloom.plans.lineage import written
 TAGS = ["IMPORTANT", "WARNING", "TECHNOLOGY", "PROCESS", "REFERENCE", "FAQ", "TROUBLESHOOTING", "SECURITY", "ARCHITECTURE", "API", "DATASET", "POLICY"]
 #: Start, step and cap of the threshold, and rounds.
 START, STEP, CAP, ROUNDS, CLUSTER_MOST = 0.55, 0.01, 0.98, 4, 20
+#: Up to here the exact join by blocks is faster than hyperplanes (9,000 vectors: 0.7 s against 9 s on eight cores).
+EXACT_UP_TO = 50_000
 
 
 def fallback_merged(blocks: DataFrame, labels: DataFrame, *kept: str) -> DataFrame:
@@ -50,9 +52,9 @@ def distill(blocks: DataFrame, start: float = START, step: float = STEP, cap: fl
     threshold = start
     for n in range(rounds):
         text = embedding.embedding_text(F.col("name"), F.col("critical_question"), F.col("trusted_answer"))
-        vectors = written(embedding.dense(embedding.hashed(current, "block_id", text, dimension), "block_id", dimension), "vectors")
+        vectors = written(embedding.dense(current, "block_id", text, dimension), "vectors")
         count = vectors.count()
-        if similarity.use_hyperplanes(count):
+        if similarity.use_hyperplanes(count, EXACT_UP_TO):
             # buckets of about ten: more bits for more vectors, and as many tables as the recall needs
             k = max(6, math.ceil(math.log2(max(2, count / 10))))
             tables = hyperplane_tables or max(20, math.ceil(math.log(0.02) / math.log(1 - (1 - math.acos(min(threshold + 0.02, 1)) / math.pi) ** k)))

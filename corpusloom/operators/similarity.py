@@ -121,22 +121,67 @@ def hyperplanes(dimension: int, k: int = 6, tables: int = 20, seed: int = 42) ->
 
 
 def candidates(vectors: DataFrame, dimension: int, k: int = 6, tables: int = 20, seed: int = 42, id_col: str = "block_id", vector_col: str = "vector") -> DataFrame:
-    """(a, b) of vectors that share a signature in any table, each pair once: only its lowest common table reports it."""
+    """(a, b) of vectors that share a signature in any table, each pair once: only its lowest common table reports it.
+
+    Rows are partitioned and sorted by (table, signature); within a partition, rows at every distance in the same bucket are
+    compared at once. Each row brings its signatures, so no pair needs a shuffle to be told apart from its copies.
+    """
     planes = hyperplanes(dimension, k, tables, seed).reshape(tables * k, dimension)
     kind = vectors.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _matrix(batch.column(1))
-            bits = (m @ planes.T > 0).reshape(len(m), tables, k) if len(m) else np.zeros((0, tables, k), bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((bits * (1 << np.arange(k))).sum(axis=2).astype(np.int64).tolist(), pa.list_(pa.int64()))], names=["id", "s"])
-
-    signed = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, f"id {kind}, s array<bigint>")
-    keyed = signed.select("id", "s", F.posexplode("s").alias("t", "key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    lower = F.exists(F.sequence(F.lit(1), F.col("a.t") + 1), lambda i: (i <= F.col("a.t")) & (F.element_at(F.col("a.s"), i) == F.element_at(F.col("b.s"), i)))
-    joined = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
-    return joined.filter(~lower).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+            n = batch.num_rows
+            bits = (m @ planes.T > 0).reshape(n, tables, k) if n else np.zeros((0, tables, k), bool)
+            s = (bits * (1 << np.arange(k, dtype=np.int64))).sum(axis=2).astype(np.int32)
+            rows = np.repeat(np.arange(n), tables)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(s.ravel()), tables).cast(pa.list_(pa.int32())).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(s.ravel()), batch.column(0).take(pa.array(rows)), lists], names=["t", "key", "id", "s"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rows = [], 0
+
+        def done(whole: pa.Table) -> Iterator[pa.RecordBatch]:
+            n = whole.num_rows
+            if n < 2:
+                return
+            t, key = whole.column("t").to_numpy(), whole.column("key").to_numpy()
+            s = whole.column("s").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, tables)
+            ids = whole.column("id").combine_chunks()
+            group = t.astype(np.int64) << 32 | key
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            sizes = np.diff(np.append(starts, n))
+            left = np.repeat(sizes, sizes) - (np.arange(n) - np.repeat(starts, sizes)) - 1
+            i, lag = np.flatnonzero(left > 0), 0
+            before = np.arange(tables)
+            while len(i):
+                lag += 1
+                for at in range(0, len(i), 100_000):
+                    x = i[at : at + 100_000]
+                    lowest = ~((s[x] == s[x + lag]) & (before < t[x, None])).any(axis=1)
+                    if lowest.any():
+                        x = x[lowest]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(x + lag))], names=["p", "q"])
+                i = i[left[i] > lag]
+
+        for batch in batches:
+            kept.append(batch)
+            rows += batch.num_rows
+            if rows < 100_000:
+                continue
+            whole = pa.Table.from_batches(kept)
+            t, key = whole.column("t").to_numpy(), whole.column("key").to_numpy()
+            last = np.flatnonzero((t != t[-1]) | (key != key[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            yield from done(whole.slice(0, cut))
+            kept, rows = whole.slice(cut).combine_chunks().to_batches(), whole.num_rows - cut
+        if kept:
+            yield from done(pa.Table.from_batches(kept))
+
+    signed = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(sign, f"t int, key int, id {kind}, s array<int>")
+    found = signed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(pair, f"p {kind}, q {kind}")
+    return found.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def theoretical_recall(cosine: float, k: int = 6, tables: int = 20) -> float:

@@ -74,7 +74,7 @@ def test_hashing_embedding(spark):
 
     texts = ["Set the limit to 42", "été à Paris", "知识 管理", "a", "  "]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    got = {r.id: r.vector for r in embedding.dense(embedding.hashed(df, "id", F.col("t"), 32), "id", 32).collect()}
+    got = {r.id: r.vector for r in embedding.dense(df, "id", F.col("t"), 32).collect()}
     for i, t in enumerate(texts[:-1]):
         assert np.allclose(got[i], plain(t))
     assert 4 not in got
