@@ -31,7 +31,8 @@ QUERY_TERMS = f"(select distinct item_id as query_id, unnest({INDEX.format('quer
 
 def block_index(spark, folder):
     b = spread(blocks(spark, folder, "trusted_answer", "critical_question", "name", "keywords"), "block_id")
-    return lexical.postings(b, "block_id", lexical.bag(F.col("trusted_answer"), F.col("critical_question"), F.col("name"), F.col("keywords")))
+    # read by the statistics, the term counts and the search
+    return written(lexical.postings(b, "block_id", lexical.bag(F.col("trusted_answer"), F.col("critical_question"), F.col("name"), F.col("keywords"))), "postings")
 
 
 def eval_queries(spark, folder):
@@ -78,7 +79,7 @@ def _legs(spark, folder, k: int):
     b = blocks(spark, folder, "trusted_answer", "name", "critical_question")
     q = eval_queries(spark, folder)
     names = F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce("critical_question", F.lit("")))
-    made = [lexical.search(q, lexical.postings(b, "block_id", T.index_tokens(c)), k, "query_id", "block_id", T.index_tokens(F.col("query"))) for c in (F.col("trusted_answer"), names)]
+    made = [lexical.search(q, written(lexical.postings(b, "block_id", T.index_tokens(c)), "postings"), k, "query_id", "block_id", T.index_tokens(F.col("query"))) for c in (F.col("trusted_answer"), names)]
     return [written(m, "leg") for m in made]
 
 
