@@ -194,7 +194,7 @@ def examined(blocks: DataFrame, model: language.Model) -> DataFrame:
                 # language: only of answers that hold a sentence
                 ask, asked, rests = [], [], []
                 for k, (d, _, rest) in enumerate(found):
-                    if d in (None, "truncated") and questions[k] and not _bare(rest.strip()):
+                    if d in (None, "truncated") and questions[k] and not _bare(rest.strip()) and not _bare(answers[k].strip()):
                         s = _NAME.sub("", rest, count=1)
                         s = _CODE.sub(" ", s)
                         if len(language._WORDS.findall(s)) >= 4 or len(language._HAN.findall(s)) >= 5:

@@ -23,7 +23,9 @@ TAGS = ["IMPORTANT", "WARNING", "TECHNOLOGY", "PROCESS", "REFERENCE", "FAQ", "TR
 STAND_INS = [
     "", "tbd", "tba", "tbc", "todo", "fixme", "na", "nan", "none", "null", "nil", "empty", "blank", "pending", "unknown", "undefined", "missing", "placeholder", "answer", "noanswer", "notapplicable", "notavailable", "noneyet",
     "tobewritten", "tobeadded", "tobedone", "tobedefined", "tobedetermined", "tobeconfirmed", "tobecompleted", "tobefilled", "tobefilledin", "comingsoon", "workinprogress", "wip", "xxx",
-    "seeotherentry", "seeother", "seeabove", "seebelow", "sameasabove", "asabove", "ditto", "seelink", "seedocs", "seedocumentation", "loremipsum", "待补充", "待定", "暂无", "无", "略", "同上",
+    "seeotherentry", "seeother", "seeabove", "seebelow", "sameasabove", "asabove", "ditto", "seelink", "seedocs", "seedocumentation", "loremipsum",
+    "ka", "keineangabe", "keineangaben", "keine", "entfällt", "nd", "sansobjet", "aucun", "aucune", "àcompléter", "ninguno", "ninguna", "nodisponible", "sindatos", "porcompletar", "nenhum", "nenhuma", "nãodisponível", "acompletar",
+    "待补充", "待定", "暂无", "无", "略", "同上",
 ]
 LONGEST_ANSWER = 500
 FIELDS = ["trusted_answer", "tags", "entities", "keywords"]

@@ -17,6 +17,7 @@ Q = "What is the limit of queue_depth for the shared index in Zelha Atlas?"
         ("<p></p>", "empty"),
         ("[answer]", "empty"),
         ("???", "empty"),
+        ("k. A.", "empty"),
         (Q, "copied_question"),
         (Q.upper(), "copied_question"),
         (f"Question: {Q}", "copied_question"),
