@@ -66,8 +66,7 @@ def op119(spark, folder):
 @query("op120_block_browse", "select block_id, total from (select block_id, created_at, count(*) over () as total from {blocks} where list_has_any(tags, ['API']) and language = 'en' and status = 'ACTIVE') order by created_at desc, block_id limit 50 offset 10")
 def op120(spark, folder):
     b = blocks(spark, folder, "tags", "language", "status", "created_at").filter(S.has_any(F.col("tags"), ["API"]) & (F.col("language") == "en") & (F.col("status") == "ACTIVE"))
-    total = F.broadcast(b.agg(F.count("*").alias("total")))  # one row
-    return S.page(b.crossJoin(total), 50, 10, F.desc("created_at"), "block_id").select("block_id", "total")
+    return S.page(b, 50, 10, F.desc("created_at"), "block_id").select("block_id", F.lit(b.count()).alias("total"))
 
 
 @query("op121_kb_counts", "select k.kb_id, k.name, coalesce(n, 0) as blocks from kb_info k left join (select kb_id, count(*) as n from {blocks} group by 1) using (kb_id)")
