@@ -49,8 +49,8 @@ def boundaries(text: str) -> tuple[list[int], list[int]]:
         add(opening.start(), FENCE)
         add(closing.end(), max(FENCE, strength.get(closing.end(), 0)))
         for at in strength:
-            if opening.start() < at < closing.end() and strength[at] >= SENTENCE:
-                strength[at] = CLAUSE  # within the fence: weaker than a sentence outside
+            if opening.start() < at < closing.end():  # within the fence its lines are weaker than a sentence outside
+                strength[at] = CLAUSE if strength[at] >= LINE else WORD
     places = sorted(strength)
     return places, [strength[p] for p in places]
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import answers, encode, garbled, history, language, leaks, neighbours, pieces, survivor
+from corpusloom.plans.lineage import shared_folder
 from corpusloom.sources.tables import spread, table
 
 
@@ -52,6 +55,18 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return named(blocks, "kb_block_state").unionByName(named(bodies, "document_record"))
 
 
+def p5_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows in two ingests: the first batches make the history, the last ones are looked up in it and appended."""
+    out = None
+    for name, text, content, longs in (("kb_block_state", "block_json", history.block_content, 3), ("document_record", "body_markdown", history.body_content, 8)):
+        rows = table(spark, folder, name).select("arrival_id", "batch_no", text)
+        store = history.History(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}", content, longs)
+        for part in (rows.filter("batch_no <= 36"), rows.filter("batch_no > 36")):
+            found = store.ingest(spread(part), "arrival_id", text).select(F.lit(name).alias("table_name"), "first_id", "later_id")
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "document_record").select("doc_id", "body_markdown", "language")
     model = language.fitted(docs, "doc_id", "body_markdown", "language")
@@ -62,6 +77,14 @@ def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _segments(spark, folder).distinct()
 
 
+def p6_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language of each document with its share of the judged text and the confidence over its segments."""
+    size = F.col("segment_end") - F.col("segment_start")
+    s = _segments(spark, folder).distinct().groupBy("doc_id", "lang_code").agg(F.sum(size).alias("size"), (F.sum(F.col("confidence") * size) / F.sum(size)).alias("confidence"))
+    whole = F.sum("size").over(Window.partitionBy("doc_id"))  # at most six rows of a document
+    return s.select("doc_id", "lang_code", F.round(F.col("size") / whole, 6).alias("share"), F.round("confidence", 6).alias("confidence"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     spoken = _segments(spark, folder).groupBy("doc_id").agg(F.collect_set("lang_code").alias("codes"))  # at most six
     labels = table(spark, folder, "document_record").select("doc_id", language.label(F.col("language")).alias("label")).groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -89,7 +112,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_restored(spark, folder).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_pieces, p2_found, p3_nearest, p3_found, p4_survivors, p4_found, p5_found, p6_segments, p6_found, p7_ids, p8_leaks, p8_found, p9_restored, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_pieces, p2_found, p3_nearest, p3_found, p4_survivors, p4_found, p5_found, p5_incremental, p6_segments, p6_languages, p6_found, p7_ids, p8_leaks, p8_found, p9_restored, p9_found)}
 _SPACE = r" \t\n\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
