@@ -41,6 +41,8 @@ from corpusloom.plans.lineage import written
 SHARE, CLASS_BITS, HOT = 0.2, 18, 4000
 #: Classes whose numbers may be sent to every executor (8 bytes each); more are joined by a shuffle.
 SENT = 500_000
+#: Cells above this size are compared as matrices, in strips of as many rows.
+STRIP = 128
 
 
 def block_content(text: str) -> str | None:
@@ -191,6 +193,28 @@ def _near(keyed: DataFrame, longs: int) -> DataFrame:
         left = np.repeat(sizes, sizes) - (np.arange(len(group)) - np.repeat(starts, sizes)) - 1  # rows of the cell after this one
         c, n, block, cell, old = (columns[x] for x in ("class", "n", "block", "cell", "old"))
         pivots = [columns[x].view(np.uint64) for x in names]
+
+        def checked(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            good = (c[x] != c[y]) & ~(old[x] & old[y]) & ((block[x] != block[y]) | (cell[x] == block[x] * ((1 << 15) + 1)))
+            x, y = x[good], y[good]
+            if len(x):
+                yield np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
+
+        # large cells: a strip of rows against all rows from its first on, as a matrix
+        for start, size in zip(starts[sizes > STRIP].tolist(), sizes[sizes > STRIP].tolist()):
+            for low in range(start, start + size, STRIP):
+                rows, cols = slice(low, min(low + STRIP, start + size)), slice(low, start + size)
+                apart = np.bitwise_count(pivots[0][rows, None] ^ pivots[0][None, cols]).astype(np.int32 if len(pivots) > 3 else np.uint8)
+                for p in pivots[1:]:
+                    apart += np.bitwise_count(p[rows, None] ^ p[None, cols])
+                i, j = np.nonzero(apart <= 2 * int(n[cols].max() * SHARE + 1e-9))
+                i, j = i + low, j + low
+                i, j = i[i < j], j[i < j]
+                larger = np.maximum(n[i], n[j])
+                bound = (larger * SHARE + 1e-9).astype(np.int32)
+                near = (np.minimum(n[i], n[j]) >= larger - bound) & (apart[i - low, j - low] <= 2 * bound)
+                yield from checked(i[near], j[near])
+        left[np.repeat(sizes, sizes) > STRIP] = 0
         i = np.flatnonzero(left > 0)
         lag = 0
         while len(i):
@@ -198,15 +222,12 @@ def _near(keyed: DataFrame, longs: int) -> DataFrame:
             j = i + lag
             larger = np.maximum(n[i], n[j])
             bound = (larger * SHARE + 1e-9).astype(np.int32)
-            near = (np.minimum(n[i], n[j]) >= larger - bound) & (c[i] != c[j]) & ~(old[i] & old[j])
-            near &= (block[i] != block[j]) | (cell[i] == block[i] * ((1 << 15) + 1))
+            near = np.minimum(n[i], n[j]) >= larger - bound
             x, y, bound = i[near], j[near], bound[near]
             apart = np.zeros(len(x), np.int32)
             for p in pivots:
                 apart += np.bitwise_count(p[x] ^ p[y])
-            x, y = x[apart <= 2 * bound], y[apart <= 2 * bound]
-            if len(x):
-                yield np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
+            yield from checked(x[apart <= 2 * bound], y[apart <= 2 * bound])
             i = i[left[i] > lag]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,6 +61,12 @@ def test_hot_keys(spark, monkeypatch):
     assert got(H.had_before(frame(spark, enumerate(texts)), "arrival_id", "body", H.body_content, 1)) == brute(texts)
 
 
+def test_matrix_strips(spark, monkeypatch):
+    monkeypatch.setattr(H, "STRIP", 4)
+    texts = corpus(200, 7)
+    assert got(H.had_before(frame(spark, enumerate(texts)), "arrival_id", "body", H.body_content, 3)) == brute(texts)
+
+
 def test_batches_give_the_same(spark, tmp_path):
     texts = corpus(120, 1)
     store = H.History(spark, str(tmp_path), H.body_content, 2)
