@@ -258,3 +258,12 @@ def test_jobs(spark):
 def test_recall_formula():
     assert math.isclose(similarity.theoretical_recall(0.55), 0.888, abs_tol=2e-3)
     assert not similarity.use_hyperplanes(4999) and similarity.use_hyperplanes(5000)
+
+
+def test_written_and_swept(spark):
+    from corpusloom.plans.lineage import sweep, written
+
+    sweep(spark)
+    df = written(spark.range(5))
+    assert df.count() == 5 and df.columns == ["id"]
+    assert sweep(spark) == 1 and sweep(spark) == 0
