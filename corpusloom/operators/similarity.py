@@ -15,8 +15,8 @@ from corpusloom.functions.text import dot
 
 #: Query vectors broadcast at once; more are taken in further passes over the data.
 QUERY_BYTES = 64 << 20
-#: Vectors of a block of the exact join.
-BLOCK = 2048
+#: Vectors of a block of the exact join; tables above SPREAD blocks take larger ones, up to WIDE, so that fewer copies are sent.
+BLOCK, SPREAD, WIDE = 2048, 8, 8192
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -81,7 +81,8 @@ def pairs_above(vectors: DataFrame, threshold: float, id_col: str = "block_id",
     there are blocks. The work is quadratic by definition: for large tables use candidates() or the neighbour search.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
-    n = blocks or max(1, math.ceil(vectors.count() / BLOCK))
+    rows = 0 if blocks else vectors.count()
+    n = blocks or max(1, min(math.ceil(rows / BLOCK), max(SPREAD, math.ceil(rows / WIDE))))
     own = F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
     spread = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), own.alias("own")).select("id", "v", "own", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
     cells = spread.select("id", "v", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
@@ -93,15 +94,19 @@ def pairs_above(vectors: DataFrame, threshold: float, id_col: str = "block_id",
         a, b = np.flatnonzero(own == x), np.flatnonzero(own == y)
         found_a, found_b, found_s = [], [], []
         for at in range(0, len(a), 512):
-            s = np.round(m[a[at : at + 512]] @ m[b].T, digits)
-            i, j = np.nonzero(s >= threshold)
+            s = m[a[at : at + 512]] @ right
+            # few pairs are near the threshold, and only those need rounding
+            i, j = np.nonzero(s >= threshold - 10.0**-digits)
+            near = np.round(s[i, j], digits)
+            i, j, s = i[near >= threshold], j[near >= threshold], near[near >= threshold]
             found_a.append(a[at + i])
             found_b.append(b[j])
-            found_s.append(s[i, j])
+            found_s.append(s)
         i, j, s = (np.concatenate(f) if f else np.zeros(0, int) for f in (found_a, found_b, found_s))
         return pa.table({"p": ids.take(pa.array(i.astype(np.int64))), "q": ids.take(pa.array(j.astype(np.int64))), "score": pa.array(s.astype(np.float64))})
 
     found = cells.groupBy("x", "y").applyInArrow(cell, f"p {kind}, q {kind}, score double")
+        right = m[b].T
     # within one block each pair comes both ways
     return found.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "score").dropDuplicates(["a", "b"])
 
