@@ -85,7 +85,7 @@ def op53(spark, folder):
 @query("op54_hyperplane_pairs")
 def op54(spark, folder):
     v = vectors(spark, folder)
-    return similarity.verified(similarity.candidates(v, 64), v, 0.4)
+    return similarity.hyperplane_pairs(v, 64, 0.4)
 
 
 @query("op55_theoretical_recall", "select c as cosine, round(1 - power(1 - power(1 - acos(c) / pi(), 6), 20), 9) as recall from (select unnest([0.55, 0.6, 0.7, 0.8, 0.9]::double[]) as c)")

@@ -196,3 +196,46 @@ def theoretical_recall(cosine: float, k: int = 6, tables: int = 20) -> float:
 
 def use_hyperplanes(n: int, least: int = 5000) -> bool:
     return n >= least
+def hyperplane_pairs(vectors: DataFrame, dimension: int, threshold: float, recall: float = 0.999, k: int = 6, seed: int = 42, id_col: str = "block_id", vector_col: str = "vector", digits: int = 6) -> DataFrame:
+    """(a, b, score) of the pairs >= threshold that share a signature in any table, with as many tables as the recall at the threshold needs.
+
+    The same as verified(candidates(...)), but each bucket is multiplied at once, so that only pairs above the threshold leave it.
+    """
+    tables = tables_for(threshold, recall, k)
+    planes = hyperplanes(dimension, k, tables, seed).reshape(tables * k, dimension)
+    kind = vectors.schema[id_col].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                n = part.num_rows
+                bits = (_matrix(part.column(1)) @ planes.T > 0).reshape(n, tables, k)
+                s = (bits * (1 << np.arange(k, dtype=np.int64))).sum(axis=2).astype(np.int32)
+                rows = pa.array(np.repeat(np.arange(n), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(s.ravel()), part.column(0).take(rows), part.column(1).take(rows)], names=["t", "key", "id", "v"])
+
+    def bucket(table: pa.Table) -> pa.Table:
+        ids, m = table.column("id").combine_chunks(), _matrix(table.column("v"))
+        found: list[tuple] = []
+        for at in range(0, len(m), 512):
+            s = m[at : at + 512] @ m[at:].T
+            i, j = np.nonzero(s >= threshold - 10.0**-digits)
+            near = np.round(s[i, j], digits)
+            keep = (near >= threshold) & (i < j)
+            found.append((i[keep] + at, j[keep] + at, near[keep]))
+        i, j, s = (np.concatenate(f) for f in zip(*found))
+        return pa.table({"p": ids.take(pa.array(i)), "q": ids.take(pa.array(j)), "score": pa.array(s)})
+
+    v = vectors.schema[vector_col].dataType.simpleString()
+    signed = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(sign, f"t int, key int, id {kind}, v {v}")
+    found = signed.groupBy("t", "key").applyInArrow(bucket, f"p {kind}, q {kind}, score double")
+    return found.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "score").dropDuplicates(["a", "b"])
+
+
+def tables_for(cosine: float, recall: float, k: int = 6) -> int:
+    """The fewest tables whose theoretical recall at the cosine is at least the given one."""
+    missed = 1 - theoretical_recall(cosine, k, 1)
+    return 1 if missed <= 0 else max(1, math.ceil(math.log(1 - recall) / math.log(missed)))
+
+

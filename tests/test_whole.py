@@ -38,3 +38,19 @@ def test_pairs_above_with_larger_blocks(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_op54_recall(spark):
+    want = {(r.a, r.b): r.score for r in QUERIES["op52_pairs_above"](spark, FOLDER).collect()}
+    got = {(r.a, r.b): r.score for r in QUERIES["op54_hyperplane_pairs"](spark, FOLDER).collect()}
+    assert set(got) <= set(want) and all(abs(want[k] - s) < 2e-6 for k, s in got.items())
+    assert len(want) > 500 and len(got) >= 0.99 * len(want)
+
+
+def test_hyperplane_pairs_are_the_verified_candidates(spark):
+    r = np.random.RandomState(7)
+    m = r.randn(150, 8)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "block_id long, vector array<double>")
+    tables = similarity.tables_for(0.6, 0.9)
+    assert similarity.theoretical_recall(0.6, tables=tables) >= 0.9 > similarity.theoretical_recall(0.6, tables=tables - 1)
+    want = similarity.verified(similarity.candidates(v, 8, tables=tables), v, 0.6).collect()
+    assert sorted(map(tuple, similarity.hyperplane_pairs(v, 8, 0.6, 0.9).collect())) == sorted(map(tuple, want))
