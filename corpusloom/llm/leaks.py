@@ -6,7 +6,7 @@ the whole corpus is summed from it. A passage of at least RUN words of which at
 unchanged words in a row; so the positional lists of every such phrase of the references are intersected, adjusted by
 their offsets and beginning with the phrase's rarest term. Each hit is then verified around its place: exactly (RUN words
 or more of the reference on one diagonal, up to one in eight of them different, the first and the last the same) or by proximity (words dropped or added as well, by an
-edit distance of up to RUN/8).
+edit distance of up to one in eight).
 
 Text that stands in the references of several items (SHARED words in a row) is left out, and so are the queries.
 The evaluation set is the stated, bounded side: it is taken in blocks of BLOCK items, each broadcast, and every block
@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 from corpusloom.llm.words import words
 from corpusloom.plans.lineage import written
 
-RUN, WRONG, SEED, SHARED, BLOCK = 24, 3, 6, 10, 5000
-#: Lengths of the windows that are compared; longer passages hold one of these.
-LENGTHS = range(RUN, RUN + 8)
-_SHIFT = 3
+RUN, SEED, SHARED, BLOCK = 24, 6, 10, 5000
+#: Lengths of the windows that are compared; longer passages hold one of these. Where a passage is cut between two neighbouring equal words,
+#: with RUN words or more on each side, one side has no more than one in eight different. So only a passage that can't be cut needs a window of
+#: its own: it has at most one equal word among those RUN - 1 away from both ends, n - 47 different ones, which n // 8 allows up to n = 53.
+LENGTHS = range(RUN, 54)
+_SHIFT = LENGTHS[-1] // 8
 
 
 class Passages:
@@ -107,16 +109,18 @@ def frequencies(postings: DataFrame, terms: int) -> np.ndarray:
     return out
 
 
-def _edits(ref: np.ndarray, doc: np.ndarray) -> int:
-    """Least edit distance of ref to any stretch of doc."""
-    row = np.zeros(len(doc) + 1, np.int32)
-    steps = np.arange(len(doc) + 1)
-    for i, t in enumerate(ref, 1):
+def _edits(ref: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Row by row: least edit distance of the first 1, 2, ... words of ref to any stretch of doc."""
+    row = np.zeros((len(doc), doc.shape[1] + 1), np.int16)
+    steps = np.arange(doc.shape[1] + 1, dtype=np.int16)
+    out = np.empty(ref.shape, np.int16)
+    for i in range(ref.shape[1]):
         new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (doc != t), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row.min())
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, :-1] + (doc != ref[:, i, None]), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        out[:, i] = row.min(axis=1)
+    return out
 
 
 def _matches(p: Passages, ids: list, terms: list, places: list) -> Iterator[tuple]:
@@ -155,8 +159,9 @@ def _matches(p: Passages, ids: list, terms: list, places: list) -> Iterator[tupl
     # one hit for each document, item, diagonal and stretch of SEED words
     _, once = np.unique(np.stack([doc, item, ref_at - doc_at, ref_at // SEED]), axis=1, return_index=True)
     done: set[tuple[int, int]] = set()
-    side = np.arange(-(LENGTHS[-1] - SEED), LENGTHS[-1])
-    for part in np.array_split(once, max(1, len(once) // 20_000)):
+    # another phrase of the same stretch may stand for the one inside the passage
+    side = np.arange(-LENGTHS[-1], LENGTHS[-1] + SEED)
+    for part in np.array_split(once, max(1, len(once) // 10_000)):
         r, d = ref_at[part, None] + side, doc_at[part, None] + side
         want = p.ref[r]
         inside = (want >= 0) & (p.owner[r] == item[part, None])
@@ -165,26 +170,37 @@ def _matches(p: Passages, ids: list, terms: list, places: list) -> Iterator[tupl
         for s in range(1, _SHIFT + 1):
             near |= inside & ((dense[d - s] == want) | (dense[d + s] == want))
         # a window holds words of this item alone, none of them shared with others
-        count = lambda m, n=RUN: np.lib.stride_tricks.sliding_window_view(m, n, axis=1).sum(axis=2)
-        ends = lambda m, n=RUN: m[:, : m.shape[1] - n + 1] & m[:, n - 1 :]
+        sums = [np.pad(np.cumsum(m, axis=1, dtype=np.int16), ((0, 0), (1, 0))) for m in (inside, exact, near)]
         on_one = np.zeros(len(r), bool)
-        for n in LENGTHS:
-            on_one |= ((count(inside, n) == n) & (count(exact, n) >= n - n // 8) & ends(exact, n)).any(axis=1)
-        close = (count(inside) == RUN) & (count(near) >= RUN - WRONG) & ends(near)
+        close = np.zeros((len(LENGTHS), *r.shape), bool)
+        for n, own in zip(LENGTHS, close):
+            whole, same, by = (c[:, n:] - c[:, :-n] for c in sums)
+            k = whole.shape[1]
+            ends = lambda m: m[:, :k] & m[:, n - 1 :]  # noqa: B023, E731
+            on_one |= ((whole == n) & (same >= n - n // 8) & ends(exact)).any(axis=1)
+            own[:, :k] = (whole == n) & (by >= n - n // 8) & ends(near)
         for k in np.flatnonzero(on_one):
             key = (int(doc[part[k]]), int(item[part[k]]))
             if key not in done:
                 done.add(key)
                 yield ids[key[0]], int(p.item[key[1]]), True
-        for k in np.flatnonzero(close.any(axis=1) & ~on_one):
-            key = (int(doc[part[k]]), int(item[part[k]]))
-            if key in done:
+        row, at = np.nonzero(close.any(axis=0) & ~on_one[:, None])
+        for low in range(0, len(row), 4096):
+            k, w = row[low : low + 4096], at[low : low + 4096]
+            left = np.array([(int(doc[x]), int(item[x])) not in done for x in part[k]], bool)
+            k, w = k[left], w[left]
+            if not len(k):
                 continue
-            for w in np.flatnonzero(close[k]):
-                if _edits(want[k, w : w + RUN], dense[d[k, w] - _SHIFT : d[k, w] + RUN + _SHIFT]) <= WRONG:
-                    done.add(key)
-                    yield ids[key[0]], int(p.item[key[1]]), False
-                    break
+            # beyond the window nothing counts: close has no window there
+            refs = p.ref[np.minimum(r[k, w, None] + np.arange(LENGTHS[-1]), len(p.ref) - 1)]
+            spots = np.clip(d[k, w, None] + np.arange(-_SHIFT, LENGTHS[-1] + _SHIFT), 0, len(dense) - 1)
+            least = _edits(refs, dense[spots])
+            for n, own in zip(LENGTHS, close):
+                for x in k[own[k, w] & (least[:, n - 1] <= n // 8)]:
+                    key = (int(doc[part[x]]), int(item[part[x]]))
+                    if key not in done:
+                        done.add(key)
+                        yield ids[key[0]], int(p.item[key[1]]), False
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "reference") -> DataFrame:

@@ -85,3 +85,43 @@ def test_blocks_of_items(spark, monkeypatch):
 
 def test_empty(spark):
     assert found(spark, [], [(1, " ".join(passage(1)))]) == {} and found(spark, [(1, "a b")], []) == {}
+
+
+def valid(ref, doc):
+    """Whether 24 words or more of ref stand in doc in a row, at most one in eight different, the first and the last the same."""
+    for k in range(len(ref)):
+        for p in range(len(doc)):
+            wrong = 0
+            for n in range(1, min(len(ref) - k, len(doc) - p) + 1):
+                same = ref[k + n - 1] == doc[p + n - 1]
+                wrong += not same
+                if n == 1 and not same:
+                    break
+                if n >= 24 and same and wrong <= n // 8:
+                    return True
+    return False
+
+
+def test_passages_of_any_length(spark):
+    r = random.Random(8)
+    items = [(i, " ".join(passage(i, 90))) for i in range(6)]
+    docs = [(0, " ".join("odd" if k in (27, 28, 30, 31, 32) else w for k, w in enumerate(items[0][1].split()[:50]) if k >= 10))]
+    docs.append((1, " ".join("odd" if 21 <= k < 27 else w for k, w in enumerate(items[1][1].split()[:48]))))
+    for n in range(2, 260):
+        i = r.randrange(6)
+        size = r.choice([24, 31, 32, 33, 39, 40, 41, 47, 48, 49, 53, 56, 64, 70])
+        low = r.randrange(90 - size)
+        x = items[i][1].split()[low : low + size]
+        middle = r.randrange(2)
+        for k in r.sample(range(size // 3, 2 * size // 3) if middle else range(1, size - 1), size // 8 + r.randrange(-1, 2)):
+            x[k] = f"odd{k}"
+        docs.append((n, " ".join(passage(5000 + n, 6) + x + passage(7000 + n, 6))))
+    want = {(d, i) for d, t in docs for i, q in items if valid(q.split(), t.split())}
+    got = found(spark, docs, items)
+    assert {k for k, exact in got.items() if exact} == want and {(0, 0), (1, 1)} <= want < {(d, i) for d, _ in docs for i, _ in items}
+
+
+def test_long_passages_by_proximity(spark):
+    a = passage(1, 40)
+    doc = [w for k, w in enumerate(a) if k not in (16, 17, 19, 20, 21)]
+    assert found(spark, [(1, " ".join(doc)), (2, " ".join(doc[:34]))], [(100, " ".join(a))]) == {(1, 100): False}
