@@ -152,9 +152,10 @@ _TRAPS = f"(select * from (select q.vec_id as target, d.vec_id as donor, {DOT} a
 
 
 def _made_traps(spark, folder):
-    v, q = vectors(spark, folder), asked(spark, folder)
-    found = similarity.nearest(q, v, 400).filter("query_id != block_id").select(F.col("query_id").alias("target"), F.col("block_id").alias("donor"), "score")
-    answers = table(spark, folder, "embeddings").select(F.col("vec_id").alias("block_id"), F.col("label").cast("string").alias("answer"))
+    e = table(spark, folder, "embeddings").select(F.col("vec_id").alias("block_id"), F.col("embedding").alias("vector"), F.trim(F.col("label").cast("string")).alias("answer"))
+    q = e.filter("block_id % 20 = 0").withColumnRenamed("block_id", "query_id")
+    found = similarity.nearest(q, e, 2, other_than="answer").select(F.col("query_id").alias("target"), F.col("block_id").alias("donor"), "score")
+    answers = e.select("block_id", "answer")
     return E.traps(found, answers, 2)
 
 

@@ -33,9 +33,11 @@ def top_k(scores: DataFrame, group: list[str], k: int, *order: Column) -> DataFr
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, data: DataFrame, k: int, query_id: str = "query_id", id_col: str = "block_id", vector_col: str = "vector", digits: int = 6, exclude_self: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, data: DataFrame, k: int, query_id: str = "query_id", id_col: str = "block_id", vector_col: str = "vector", digits: int = 6, exclude_self: bool = False, other_than: str | None = None) -> DataFrame:
     """Exact: (query_id, id_col, score, rank) of the k rows of highest dot product, ties by id.
 
+    other_than: a column of both sides; rows that have the query's value, and nulls, are left out before the k are taken.
+
     The query set is the stated side: it is sent to the partitions of the data in blocks of bounded size, each task keeps its
     best k for each query, and one window merges them.
     """
@@ -44,17 +46,21 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, query_id: str = "query_
     spark = data.sparkSession
     q_type, d_type = queries.schema[query_id].dataType.simpleString(), data.schema[id_col].dataType.simpleString()
     schema = f"{query_id} {q_type}, {id_col} {d_type}, score double"
+    more = [other_than] if other_than else []
     size = queries.agg(F.count("*").alias("n"), F.max(F.size(vector_col)).alias("d")).first()
     passes = max(1, math.ceil((size.n or 0) * (size.d or 1) * 8 / QUERY_BYTES))
     out = spark.createDataFrame([], schema)
     for p in range(passes):
-        rows = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(passes)) == p).select(query_id, vector_col).collect()
+        rows = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(passes)) == p).select(query_id, vector_col, *more).collect()
         if not rows:
             continue
-        shared = spark.sparkContext.broadcast((pa.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
+        shared = spark.sparkContext.broadcast((pa.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64), [r[2] for r in rows] if more else None))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
+            names, q, values = shared.value
+            if values:
+                number = {x: n for n, x in enumerate({x for x in values if x is not None})}
+                taken = np.array([number.get(x, -1) for x in values])
             for batch in batches:
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
@@ -62,13 +68,17 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, query_id: str = "query_
                     if m.shape[1] != q.shape[1]:
                         raise ValueError("vectors of different length")
                     s = np.round(q @ m.T, digits)
+                    if values:
+                        # -1: null, -2: a value that no query has
+                        own = np.array([-1 if x is None else number.get(x, -2) for x in part.column(2).to_pylist()])
+                        s[(taken[:, None] == own) | (taken == -1)[:, None] | (own == -1)] = -np.inf
                     take = min(k + int(exclude_self), part.num_rows)
                     # everything that ties with the last kept one stays, for the window to decide by id
                     least = np.partition(s, -take, axis=1)[:, -take]
-                    i, j = np.nonzero(s >= least[:, None])
+                    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), part.column(0).take(pa.array(j)), pa.array(s[i, j])], names=[query_id, id_col, "score"])
 
-        out = out.unionByName(data.select(id_col, vector_col).mapInArrow(run, schema))
+        out = out.unionByName(data.select(id_col, vector_col, *more).mapInArrow(run, schema))
     if exclude_self:
         out = out.filter(F.col(query_id) != F.col(id_col))
     return top_k(out, [query_id], k, F.desc("score"), F.col(id_col))
@@ -93,6 +103,7 @@ def pairs_above(vectors: DataFrame, threshold: float, id_col: str = "block_id",
         ids, m = table.column("id").combine_chunks(), _matrix(table.column("v"))
         a, b = np.flatnonzero(own == x), np.flatnonzero(own == y)
         found_a, found_b, found_s = [], [], []
+        right = m[b].T
         for at in range(0, len(a), 512):
             s = m[a[at : at + 512]] @ right
             # few pairs are near the threshold, and only those need rounding
@@ -106,7 +117,6 @@ def pairs_above(vectors: DataFrame, threshold: float, id_col: str = "block_id",
         return pa.table({"p": ids.take(pa.array(i.astype(np.int64))), "q": ids.take(pa.array(j.astype(np.int64))), "score": pa.array(s.astype(np.float64))})
 
     found = cells.groupBy("x", "y").applyInArrow(cell, f"p {kind}, q {kind}, score double")
-        right = m[b].T
     # within one block each pair comes both ways
     return found.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "score").dropDuplicates(["a", "b"])
 
@@ -189,13 +199,6 @@ def candidates(vectors: DataFrame, dimension: int, k: int = 6, tables: int = 20,
     return found.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
-def theoretical_recall(cosine: float, k: int = 6, tables: int = 20) -> float:
-    angle = math.acos(max(-1.0, min(1.0, cosine)))
-    return 1 - (1 - (1 - angle / math.pi) ** k) ** tables
-
-
-def use_hyperplanes(n: int, least: int = 5000) -> bool:
-    return n >= least
 def hyperplane_pairs(vectors: DataFrame, dimension: int, threshold: float, recall: float = 0.999, k: int = 6, seed: int = 42, id_col: str = "block_id", vector_col: str = "vector", digits: int = 6) -> DataFrame:
     """(a, b, score) of the pairs >= threshold that share a signature in any table, with as many tables as the recall at the threshold needs.
 
@@ -239,3 +242,10 @@ def tables_for(cosine: float, recall: float, k: int = 6) -> int:
     return 1 if missed <= 0 else max(1, math.ceil(math.log(1 - recall) / math.log(missed)))
 
 
+def theoretical_recall(cosine: float, k: int = 6, tables: int = 20) -> float:
+    angle = math.acos(max(-1.0, min(1.0, cosine)))
+    return 1 - (1 - (1 - angle / math.pi) ** k) ** tables
+
+
+def use_hyperplanes(n: int, least: int = 5000) -> bool:
+    return n >= least

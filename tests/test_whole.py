@@ -54,3 +54,12 @@ def test_hyperplane_pairs_are_the_verified_candidates(spark):
     assert similarity.theoretical_recall(0.6, tables=tables) >= 0.9 > similarity.theoretical_recall(0.6, tables=tables - 1)
     want = similarity.verified(similarity.candidates(v, 8, tables=tables), v, 0.6).collect()
     assert sorted(map(tuple, similarity.hyperplane_pairs(v, 8, 0.6, 0.9).collect())) == sorted(map(tuple, want))
+
+
+def test_traps_behind_many_equal_answers(spark, tmp_path):
+    near = [(i, [1.0, i / 1e5], "same") for i in range(600)]
+    far = [(600, [0.6, 0.8], "other"), (601, [0.5, 0.8], "third"), (602, [0.4, 0.8], "other"), (603, [1.0, 0.0], None)]
+    spark.createDataFrame(near + far, "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.target, r.place): r.donor for r in QUERIES["op136_traps"](spark, str(tmp_path)).collect()}
+    assert {got[t, p] for t in range(0, 600, 20) for p in (1,)} == {600} and {got[t, 2] for t in range(0, 600, 20)} == {601}
+    assert (got[600, 1], got[600, 2]) == (601, 599)
