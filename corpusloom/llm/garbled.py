@@ -3,8 +3,8 @@
 How often each pair of neighbouring characters occurs is counted over the whole corpus (by hash, in 2^PAIR_BITS counters,
 so the table has one size whatever the corpus). A pair's score is its self-information less the mean of its characters',
 that is, the mean self-information less the pair's mutual information: pairs that occur together less than their
-characters would have it score high. Runs of improbable characters are the maximal segments of positive sum of
-(score - USUAL). Only inside these runs, extended to whole stretches beyond ASCII, inverse mappings are tested: the stretch is
+characters would have it score high. Runs of improbable characters are stretches of single characters above
+USUAL, which is so low that nearly all are. So inverse mappings are in practice tested on every stretch beyond ASCII: the stretch is
 encoded with each codec that may have been used wrongly and read again as UTF-8. A reading is taken if all of it (or, in
 a stretch with sound neighbours or lost bytes, nearly all of it) is valid and its characters are no less probable than
 before. This is repeated for text that went wrong twice. Replacement characters can't be restored but are a case.
@@ -77,7 +77,7 @@ class Restorer:
         return self.pair[_slot(c[:-1], c[1:])] - (h[:-1] + h[1:]) / 2
 
     def improbable(self, text: str) -> list[tuple[int, int]]:
-        """Maximal segments of positive sum of (score - USUAL), each character with the worse of its two pairs."""
+        """Longest stretches of characters whose score, the worse of their two pairs, is above USUAL."""
         c = _codes(text)
         if len(c) < 2:
             return [(0, len(c))] if len(c) else []
