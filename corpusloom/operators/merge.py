@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.operators import embedding, graph, similarity
 from corpusloom.plans.lineage import written
 
 TAGS = ["IMPORTANT", "WARNING", "TECHNOLOGY", "PROCESS", "REFERENCE", "FAQ", "TROUBLESHOOTING", "SECURITY", "ARCHITECTURE", "API", "DATASET", "POLICY"]
+#: What a merge result holds.
+FIELDS = ["name", "critical_question", "trusted_answer", "tags", "entities", "keywords", "reasoning"]
 #: Start, step and cap of the threshold, and rounds.
 START, STEP, CAP, ROUNDS, CLUSTER_MOST = 0.55, 0.01, 0.98, 4, 20
 
@@ -29,8 +32,30 @@ def coerce_tags(tags):
     return F.array_distinct(F.filter(F.transform(tags, lambda t: F.upper(F.trim(t))), lambda t: t.isin(TAGS)))
 
 
+def unwrapped(rows: DataFrame) -> DataFrame:
+    """Merge results out of their envelopes: the fields of the struct `block`, else of `merged`, else the row's own."""
+    envelopes = [c for c in ("block", "merged") if c in rows.columns and isinstance(rows.schema[c].dataType, T.StructType)]
+    if not envelopes:
+        return rows
+    own = [c for c in rows.columns if c not in envelopes]
+    names = dict.fromkeys([*own, *(f for e in envelopes for f in rows.schema[e].dataType.names)])
+    out = []
+    for n in names:
+        value = F.col(n) if n in own else F.lit(None)
+        for e in reversed(envelopes):
+            # a key beside the envelope belongs to the row, a field that the envelope lacks is missing
+            inside = F.col(e)[n] if n in rows.schema[e].dataType.names else value if n not in FIELDS else F.lit(None)
+            value = F.when(F.col(e).isNotNull(), inside).otherwise(value)
+        out.append(value.alias(n))
+    return rows.select(*out)
+
+
 def coerced(rows: DataFrame) -> DataFrame:
-    """Merge results made sound: tags of the vocabulary, valid answers only, confidence between 0 and 1."""
+    """Merge results made sound: out of their envelopes, tags of the vocabulary, an error for invalid ones, confidence (where there is one) between 0 and 1."""
+    rows = unwrapped(rows)
+    if "confidence" in rows.columns:
+        c = F.col("confidence")
+        rows = rows.withColumn("confidence", F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))))
     answer = F.trim("trusted_answer")
     error = F.when(F.coalesce(F.trim("name"), F.lit("")) == "", "missing name").when(F.coalesce(answer, F.lit("")) == "", "missing answer").when(F.char_length(answer) > 500, "answer too long")
     return rows.withColumn("tags", coerce_tags(F.col("tags"))).withColumn("error", error)

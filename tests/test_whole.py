@@ -63,3 +63,16 @@ def test_traps_behind_many_equal_answers(spark, tmp_path):
     got = {(r.target, r.place): r.donor for r in QUERIES["op136_traps"](spark, str(tmp_path)).collect()}
     assert {got[t, p] for t in range(0, 600, 20) for p in (1,)} == {600} and {got[t, 2] for t in range(0, 600, 20)} == {601}
     assert (got[600, 1], got[600, 2]) == (601, 599)
+
+
+def test_merge_coercion_unwraps_and_clamps(spark):
+    fields = "struct<name: string, trusted_answer: string, tags: array<string>>"
+    rows = [
+        (1, None, None, "own", "an answer", ["faq"], 1.5),
+        (2, ("inner", "an answer", [" api ", "API"]), ("second", "no", []), None, None, None, -0.5),
+        (3, None, ("merged", "x" * 501, []), "own", "an answer", [], None),
+        (4, (None, "an answer", []), None, "own", "an answer", [], 0.25),
+    ]
+    d = spark.createDataFrame(rows, f"record_id long, block {fields}, merged {fields}, name string, trusted_answer string, tags array<string>, confidence double")
+    got = {r.record_id: (r.name, r.tags, r.error, r.confidence) for r in merge.coerced(d).collect()}
+    assert got == {1: ("own", ["FAQ"], None, 1.0), 2: ("inner", ["API"], None, 0.0), 3: ("merged", [], "answer too long", None), 4: (None, [], "missing name", 0.25)}
