@@ -53,7 +53,8 @@ def test_nothing(restorer):
 
 
 def test_frame(spark):
-    rows = [(i, t, "x") for i, t in enumerate(SOUND)] + [(90, "Für dÃ¼rre Größe", "x"), (91, None, "x"), (92, "", "x"), (93, "Für dÃ¼rre Größe", "x"), (94, ("Für dÃ¼rre Größe " * 5000), "x")]
+    # enough sound text that the garbled pairs aren't usual in it
+    rows = [(i, t, "x") for i, t in enumerate(SOUND)] + [(1000 + i, t, "x") for i, t in enumerate(SOUND * 1500)] + [(90, "Für dÃ¼rre Größe", "x"), (91, None, "x"), (92, "", "x"), (93, "Für dÃ¼rre Größe", "x"), (94, SOUND[0] * 5000 + " Für dÃ¼rre Größe", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, restored string")
     got = {r.doc_id: r for r in G.restored(df).collect()}
     assert set(got) == {90, 93, 94} and got[90].restored == "Für dürre Größe" and got[90].codecs == ["cp1252"] and got[90].complete
@@ -70,3 +71,32 @@ def test_western_text_under_another_codec(restorer, codec):
 
 def test_capitals_are_sound(restorer):
     assert restorer.restore("LOS MÁRGENES ÚLTIMOS CIERRAN") is None
+
+
+def _recursive(s, low, high):
+    """Maximal segments by definition: the best one, then those to its left and right."""
+    best = max(((sum(s[a:b]), -(b - a), a, b) for a in range(low, high) for b in range(a + 1, high + 1)), default=(0, 0, 0, 0))
+    if best[0] <= 0:
+        return []
+    return [*_recursive(s, low, best[2]), best[2:], *_recursive(s, best[3], high)]
+
+
+def test_maximal_segments_by_definition():
+    rng = np.random.RandomState(3)
+    for _ in range(60):
+        s = rng.standard_normal(rng.randint(1, 25)) - 0.2
+        assert G.maximal_segments(s, 0.0) == _recursive(s.tolist(), 0, len(s))
+    assert G.maximal_segments(np.array([2.0, -1.0, 2.0, -5.0, 1.0]), 3.0) == [(0, 3)]  # the weak pair is bridged
+
+
+def test_readings_only_inside_runs(restorer):
+    usual, place = G.Restorer(np.full(1 << G.PAIR_BITS, 1000), np.full(1 << G.PAIR_BITS, 1000)), "Die GrÃ¶ÃŸe bleibt"
+    assert usual.runs(place) == [] and usual.restore(place) is None  # nothing is improbable there
+    assert restorer.runs(place) and restorer.restore(place)[0] == "Die Größe bleibt"
+
+
+def test_wrong_many_times(restorer):
+    text = bad = "Größe"
+    for _ in range(6):
+        bad = bad.encode().decode("latin-1")
+    assert restorer.restore(f"Die {bad} bleibt")[0] == f"Die {text} bleibt"
