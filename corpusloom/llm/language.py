@@ -43,8 +43,8 @@ _BLANK = re.compile(
     re.S | re.M | re.A,
 )
 _SENTENCE = re.compile(r"[^.!?。！？；\n]+[.!?。！？；]*")
-_WORDS = re.compile(r"[^\W\d_㐀-鿿]+")
-_HAN = re.compile(r"[㐀-鿿]")
+LETTERS = re.compile(r"[^\W\d_㐀-鿿]+")
+HAN = re.compile(r"[㐀-鿿]")
 
 
 def label(c: Column) -> Column:
@@ -62,7 +62,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
     out = []
     for m in _SENTENCE.finditer(masked):
         s = m[0]
-        if len(_WORDS.findall(s)) >= MIN_WORDS or len(_HAN.findall(s)) >= MIN_HAN:
+        if len(LETTERS.findall(s)) >= MIN_WORDS or len(HAN.findall(s)) >= MIN_HAN:
             out.append((m.start() + len(s) - len(s.lstrip()), m.start() + len(s.rstrip())))
     return out
 

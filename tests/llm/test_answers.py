@@ -25,9 +25,7 @@ Q = "What is the limit of queue_depth for the shared index in Zelha Atlas?"
         (f"**{Q[:-1]}**", "copied_question"),
         (f"{Q} The limit is 42 requests.", None),
         (f"{Q}\n\n42 requests", None),
-        ("Sorry, I can't help with that request. Try rephrasing the question.", "refusal"),
-        ("I apologise; I am not able to answer this one.", "refusal"),
-        (f"{Q}\n\nZosomi: Regrettably my guidelines keep me from going into this.", "refusal"),
+        ("Sorry, I can't help with that request. Try rephrasing the question.", None),  # a refusal only if it recurs
         ("Users who are not able to open the card of 3 tenants should set queue_depth to 4.", None),
         ("In Zelha Atlas 7.1, queue_depth is set to 42, so the shared index", "truncated"),
         ("Set queue_depth to 42 because the index tracks…", "truncated"),
@@ -45,6 +43,42 @@ def test_examine(answer, defect):
     assert answers.examine(Q, answer)[0] == defect
 
 
+def test_short_questions_are_copied_as_well():
+    assert answers.examine("Is it on?", "Is it on?")[0] == "copied_question"
+    assert answers.examine("Is it on?", "Question: is it on? IS IT ON")[0] == "copied_question"
+    assert answers.examine("Is it on?", "Is it only on weekdays? Yes, it is.")[2].startswith("Is it only")
+    assert answers.examine("Is it on?", "Is it on? Yes, since 2019.")[2] == "Yes, since 2019."
+    long = "Was ist " + "Straße " * 3000 + "?"  # the whole repeat is seen, however long, in any case and with any marks
+    assert answers.examine(long, "  - ".join(long.upper().split(" ")))[0] == "copied_question"
+
+
+def test_clauses():
+    of = lambda a: answers.examine(None, a)[1]
+    assert of("Zosomi: Regrettably, I won’t say. Ask again!") == ["regrettably i won't say", "ask again"]
+    assert of("Set queue.depth to 4. Then wait for it.") == [] and of("42 requests") == [] and of("No comment.") == [] and of("- Zelha Atlas\n- Lemon One") == []
+
+
+REFUSED = ["Regrettably we leave such a matter open", "We leave such a matter open", "We leave such a matter open, and that is that"]
+PROMPTS = ["Which team moves the shared index?", "When does the nightly report run?", "Why was the archive locked?", "Who may read the ledger?", "How large are old snapshots?"]
+
+
+def test_refusals_and_stock_openings(spark, model):
+    rows = [(f"r{k}", q, f"{r}. Try another wording.") for k, (q, r) in enumerate(zip(PROMPTS, [REFUSED[1], *REFUSED, REFUSED[1]]))]
+    # sound stock openings: before something of their own, or speaking of what was asked
+    rows += [(f"v{k}", q, f"It depends on the version that you run. {a}") for k, (q, a) in enumerate(zip(PROMPTS, ("Old ones wait.", "Never before noon.", "By mistake only.", "All clerks may.", "They hardly grow.")))]
+    rows += [(f"m{k}", f"{q} Or does the {w} page open?", "The page opens from the main menu under settings.") for k, (q, w) in enumerate(zip(PROMPTS, ("menu", "settings", "opens", "under", "main")))]
+    rows += [(f"b{k}", q, "- Zelha Atlas\n- Lemon One\n- Pucele Desk") for k, q in enumerate(PROMPTS)]
+    got = {r.block_id: r.defect for r in answers.defects(frame(spark, rows), model).collect()}
+    assert got == {f"r{k}": "refusal" for k in range(5)}
+
+
+def test_leaders_of_a_band_are_all_compared(spark):
+    long = [f"w{i}" for i in range(30)]
+    texts = [" ".join(long), " ".join([*long[:-1], "other"]), " ".join(["more", *long]), " ".join(f"x{i}" for i in range(30)), "few words"]
+    pairs = {(r.leader, r.opening) for r in answers.similar_pairs(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
+    assert {frozenset(p) for p in pairs} <= {frozenset((a, b)) for a in texts[:3] for b in texts[:3]} and len({x for p in pairs for x in p}) == 3
+
+
 def test_null_question():
     assert answers.examine(None, "x y z.")[0] is None and answers.examine(None, None)[0] == "empty"
 
