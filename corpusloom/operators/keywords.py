@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -131,25 +132,25 @@ def rank_graph(segments: list[list[str]]) -> dict[str, float]:
 
 
 def textrank_words(segments: list[list[str]], k: int) -> list[tuple[str, float]]:
-    """The k best words or phrases of neighbouring good words (mean score), then single words not covered."""
+    """The k best of: islands of neighbouring words of the 3k best (mean score, at most MERGE words), and all words outside of them."""
     scores = rank_graph(segments)
-    ranked = sorted(scores, key=lambda w: (-scores[w], w))
-    good = set(ranked[: 3 * k])
-    found: dict[str, float] = {}
-    for s in segments:
-        run: list[str] = []
-        for w in [*s, None]:
-            if w is None or w not in good or len(run) == MERGE:
-                if run:
-                    found.setdefault(" ".join(run), sum(scores[x] for x in run) / len(run))
-                run = []
-            if w is not None and w in good:
-                run.append(w)
-    covered = {w for phrase in found for w in phrase.split()}
-    for w in ranked:
-        if w not in covered:
-            found.setdefault(w, scores[w])
-    return sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]
+    order = sorted(scores, key=lambda w: (-round(scores[w], 9), w))
+    best = set(order[: 3 * k])
+    flat = [(n, w) for n, s in enumerate(segments) for w in s]
+    spots = np.array([i for i, (_, w) in enumerate(flat) if w in best], np.int64)
+    out: dict[str, float] = {}
+    if len(spots):
+        segment = np.array([flat[i][0] for i in spots])
+        fresh = np.concatenate([[True], (np.diff(spots) > 1) | (np.diff(segment) > 0)])
+        within = np.arange(len(spots)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        starts = np.flatnonzero(within % MERGE == 0)
+        value = np.array([scores[flat[i][1]] for i in spots])
+        means = np.add.reduceat(value, starts) / np.diff(np.append(starts, len(spots)))
+        for part, mean in zip(np.split(spots, starts[1:]), means.tolist()):
+            out.setdefault(" ".join(flat[i][1] for i in part), mean)
+    inside = {flat[i][1] for i in spots}
+    out |= {w: scores[w] for w in order if w not in inside and w not in out}
+    return sorted(out.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]  # equal but for the order of summing: by name
 
 
 def textrank(df: DataFrame, id_col: str, text_col: str, k: int = 10, tokenizer=T.latin_tokens, digits: int = 6) -> DataFrame:
@@ -195,33 +196,30 @@ def retagged(tags: Column, extra: Column, replace: bool) -> Column:
 
 
 def pick_sentences(tokens: list[list[str]], most: int) -> list[int]:
-    """Indices of the sentences of a summary: frequent words, a bonus for the first sentences, no restatements."""
-    frequency: dict[str, int] = {}
-    for s in tokens:
-        for w in s:
-            frequency[w] = frequency.get(w, 0) + 1
-    if not frequency:
+    """Indices of the sentences of a summary: frequent words, a bonus for the first sentences, no restatements.
+
+    Sentences are rows of a matrix of word counts. Each pick is the best of the open rows, those not too similar to any pick so far.
+    """
+    words = {w: n for n, w in enumerate(dict.fromkeys(chain.from_iterable(tokens)))}
+    if not words:
         return list(range(min(most, len(tokens))))
-    top = max(frequency.values())
-    score = []
-    for i, s in enumerate(tokens):
-        base = sum(frequency[w] for w in s) / top / len(s) ** 0.5 if s else 0.0
-        score.append(base * (1 + BONUS * (1 - i / LEAD)) if i < LEAD else base)
-    sets = [set(s) for s in tokens]
-    near = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
-    chosen: list[int] = []
-    while len(chosen) < most:
-        best, value = None, -1.0
-        for i in range(len(tokens)):
-            if i in chosen:
-                continue
-            like = max((near(sets[i], sets[j]) for j in chosen), default=0.0)
-            if like <= OVERLAP and (v := RELEVANCE * score[i] - (1 - RELEVANCE) * like) > value:
-                best, value = i, v
-        if best is None:
+    counts = np.zeros((len(tokens), len(words)))
+    np.add.at(counts, ([n for n, s in enumerate(tokens) for _ in s], [words[w] for s in tokens for w in s]), 1)
+    length, total = counts.sum(axis=1), counts.sum(axis=0)
+    lead = np.maximum(0, 1 - np.arange(len(tokens)) / LEAD)
+    relevance = RELEVANCE * (counts @ total / total.max() / np.sqrt(np.maximum(length, 1))) * (1 + BONUS * lead)
+    seen = (counts > 0).astype(float)
+    both = seen @ seen.T
+    either = seen.sum(axis=1)[:, None] + seen.sum(axis=1) - both
+    like = np.divide(both, either, out=np.zeros_like(both), where=either > 0)
+    nearest, picked = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
+    for _ in range(min(most, len(tokens))):
+        value = np.where(picked | (nearest > OVERLAP), -np.inf, relevance - (1 - RELEVANCE) * nearest)
+        if np.isneginf(value).all():
             break
-        chosen.append(best)
-    return sorted(chosen)
+        picked[at := int(value.argmax())] = True
+        nearest = np.maximum(nearest, like[at])
+    return np.flatnonzero(picked).tolist()
 
 
 def summaries(df: DataFrame, id_col: str, text_col: str, most: int = 3, tokenizer=T.auto_tokens) -> DataFrame:

@@ -186,11 +186,36 @@ def test_metrics_and_tiers(spark):
 
 
 def test_chunks():
-    t = "Alpha beta. " * 100
-    found = chunks.chunks(t, 100, 20)
-    assert all(e - s <= 100 for s, e, _ in found) and "".join(t[s if n == 0 else found[n - 1][1] : e] for n, (s, e, _) in enumerate(found)).strip() == t.strip()
-    assert chunks.segments("a\n\n" + "b" * 30, 20) == ["a\n\n" + "b" * 17, "b" * 13] or all(len(x) <= 20 for x in chunks.segments("a\n\n" + "b" * 30, 20))
-    assert chunks.segments("  ") == [] and chunks.chunks(None) == []
+    of = lambda t, *a: chunks.chunks(t, *a)
+    assert of("aaaa bbbb cccc dddd", 9, 0) == ["aaaa bbbb", "cccc dddd"]
+    assert of("aaaa bbbb cccc dddd", 9, 4) == ["aaaa bbbb", "bbbb cccc", "cccc dddd"]  # the repeat fits
+    assert of("aaaa bbbbbbb cccc", 9, 4) == ["aaaa", "bbbbbbb", "bbbb cccc"]  # no room for a repeat
+    assert of("One two. Three four five.\n\nSix", 12, 0) == ["One two", "Three four", "five.", "Six"]  # paragraphs, sentences, words
+    assert of("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]  # no separator: windows
+    assert of("x\n\n\n\ny", 3, 0) == ["x", "y"] and of("short", 9, 0) == ["short"] and of("", 9, 0) == of(None, 9, 0) == []
+    long = "Alpha beta gamma. " * 400 + "z" * 1000
+    assert all(0 < len(c) <= 100 for c in of(long, 100, 20))
+    with pytest.raises(ValueError):
+        of("x", 5, 5)
+
+
+def test_chunk_places(spark):
+    rows = spark.createDataFrame([(1, "aaaa bbbb cccc dddd", "clash"), (2, None, "clash"), (3, "", "clash")], "doc_id long, text string, start string")
+    got = [tuple(r) for r in chunks.chunked(rows, "doc_id", "text", 9, 4).collect()]
+    assert got == [("1#0", 1, 0, 9, "aaaa bbbb"), ("1#1", 1, 9, 18, "bbbb cccc"), ("1#2", 1, 18, 27, "cccc dddd")]
+
+
+def test_segments():
+    assert chunks.segments("a\n\n" + "b" * 30, 20) == ["a", "b" * 20, "b" * 10]
+    assert chunks.segments(" one\n\ntwo\n\nthree four five ", 10) == ["one\n\ntwo", "three", "four\n\nfive"]
+    assert chunks.segments("  ") == chunks.segments(None) == []
+    assert all(len(x) <= 50 for x in chunks.segments("Some words. And more\nof them " * 90, 50))
+
+
+def test_summary_sentences(spark):
+    md = "# Title\n\nFirst one. ![pic](u) Second [link](http://x)!\n```\ncode. here\n```\n| a | b |\n---\n* item: rest\n~~~\nnever closed"
+    got = spark.createDataFrame([(md,), (None,)], "t string").select(T.summary_sentences(F.col("t")).alias("s")).collect()
+    assert got[0].s == ["Title", "First one", "Second link", "item", "rest", "~~~", "never closed"] and got[1].s is None
 
 
 def test_noisy_json():
