@@ -35,10 +35,10 @@ def op03(spark, folder):
 
 @query("op06_write_markdown")
 def op06(spark, folder):
-    out = f"{shared_folder(spark)}/markdown-{uuid.uuid4().hex}".removeprefix("file://").removeprefix("file:")
+    out = f"{shared_folder(spark)}/markdown-{uuid.uuid4().hex}"
     rows = docs(spark, folder).select(F.concat("doc_id", F.lit(".txt")).alias("path"), F.encode("body_markdown", "UTF-8").alias("content"))
     convert.write_markdown(convert.converted(rows), out)
-    return convert.scan(spark, f"file://{out}", [".md"]).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length")
+    return convert.scan(spark, out, [".md"]).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length")
 
 
 @query("op08_vector_store", "select vec_id as id, round(list_sum(embedding::double[]), 5) as total from embeddings")

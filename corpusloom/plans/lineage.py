@@ -12,10 +12,13 @@ _WRITTEN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="corpusloom-"))
 
 

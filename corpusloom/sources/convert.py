@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,15 +140,20 @@ def converted(files: DataFrame, path_col: str = "path", content_col: str = "cont
 
 
 def write_markdown(rows: DataFrame, folder: str) -> None:
-    """One <stem>.md for each converted row, in the folder on a file system that all executors share. Equal stems overwrite one another."""
+    """One <stem>.md for each converted row, in a folder that all executors share, by its URI (a path without a scheme is a mounted one).
+
+    Equal stems overwrite one another; a task that is run again writes the same files.
+    """
+    FileSystem.from_uri(folder)  # an unknown scheme is an error here, not a local folder of that name
 
     def write(part) -> None:
-        os.makedirs(folder, exist_ok=True)
+        target, root = FileSystem.from_uri(folder)
+        target.create_dir(root, recursive=True)
         for r in part:
             if r.markdown is not None:
                 stem = posixpath.splitext(posixpath.basename(r.path))[0]
-                with open(os.path.join(folder, stem + ".md"), "w", encoding="utf-8") as f:
-                    f.write(r.markdown)
+                with target.open_output_stream(f"{root}/{stem}.md") as f:
+                    f.write(r.markdown.encode())
 
     rows.select("path", "markdown").foreachPartition(write)
 

@@ -190,7 +190,7 @@ def test_chunks():
     assert of("aaaa bbbb cccc dddd", 9, 0) == ["aaaa bbbb", "cccc dddd"]
     assert of("aaaa bbbb cccc dddd", 9, 4) == ["aaaa bbbb", "bbbb cccc", "cccc dddd"]  # the repeat fits
     assert of("aaaa bbbbbbb cccc", 9, 4) == ["aaaa", "bbbbbbb", "bbbb cccc"]  # no room for a repeat
-    assert of("One two. Three four five.\n\nSix", 12, 0) == ["One two", "Three four", "five.", "Six"]  # paragraphs, sentences, words
+    assert of("One two. Three four five.\n\nSix", 12, 0) == ["One two", "Three four", "five.\n\nSix"]  # paragraphs, sentences, words; packed again
     assert of("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]  # no separator: windows
     assert of("x\n\n\n\ny", 3, 0) == ["x", "y"] and of("short", 9, 0) == ["short"] and of("", 9, 0) == of(None, 9, 0) == []
     long = "Alpha beta gamma. " * 400 + "z" * 1000
@@ -218,6 +218,30 @@ def test_summary_sentences(spark):
     assert got[0].s == ["Title", "First one", "Second link", "item", "rest", "~~~", "never closed"] and got[1].s is None
 
 
+def test_shared_folder(spark, monkeypatch):
+    from corpusloom.plans import lineage
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda key: None)}))
+
+    with pytest.raises(RuntimeError):
+        lineage.shared_folder(Elsewhere)
+    assert lineage.shared_folder(spark)
+
+
+def test_write_markdown_names_a_file_system(spark, tmp_path):
+    rows = spark.createDataFrame([("/a/x.txt", "# X"), ("/a/y.txt", None)], "path string, markdown string")
+    convert.write_markdown(rows, f"file://{tmp_path}/out")
+    assert [(f.name, f.read_text()) for f in (tmp_path / "out").iterdir()] == [("x.md", "# X")]
+    with pytest.raises(Exception, match="nofs"):
+        convert.write_markdown(rows, "nofs://bucket/out")
+
+
 def test_noisy_json():
     assert noisy_json.salvage('```json\n{"a": 1,}\n```') == {"a": 1}
     assert noisy_json.salvage('Sure: [{"a": 1}, {"b": 2') in ([{"a": 1}, {"b": 2}], [{"a": 1}])
