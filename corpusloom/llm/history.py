@@ -12,14 +12,21 @@ into `longs` 64-bit numbers, and a pair is pruned by two range bounds on pivot 0
 These distances concentrate, as they do for any text: over a fifth of the words, no range of a single pivot separates
 anything (see the README for figures). Therefore the join is keyed besides: two contents within the bound share one of the
 rarest SHARE of their words, in any fixed order of words (prefix filter, exact). The order is by how often a word's hash class
-of 2^CLASS_BITS occurs, counted over all rows when the history is begun and kept with it. Keys of more than HOT rows are split into pairs of
-blocks, so no task takes more than two blocks of a key.
+of 2^CLASS_BITS occurs in the first batch, and kept with the history. By the place of the shared word in both orders a pair is pruned
+as well: no more words can be common than follow it.
 
 Equal multisets are one class, under their earliest row, before pairs are made; so copies aren't expanded into pairs.
 Surviving pairs are verified by their true distance. A row's first_id is the earliest row whose class is within the bound of its own.
 
-History keeps two tables in its folder, appended for each batch: classes (number, earliest id, pivots, words) and postings.
-A batch is joined with the stored postings; the texts of older batches are never read again.
+History keeps three tables in its folder, each stored in buckets by its key and sorted in them, one partition for each batch: classes (class,
+earliest id, words), firsts (of a class that is near an earlier one, that one's id) and postings (word, pivots of a class). A batch appends its new classes and joins its own postings with
+the stored ones bucket by bucket: the history is neither shuffled nor rewritten, its texts and words are never read for it. A
+batch of at most ASKED different words reads only the pages of the postings that hold them, and at most ASKED candidates only those of the classes.
+How many postings each word's hash class has is kept up to date with every batch. A class of words that has more than HOT is stored
+from then on in that many parts by hash, and whoever asks for it asks every part, so no task takes more than about HOT stored rows of a word.
+
+A batch is one whole: its partitions are written first and counted as accepted by the last write alone; a batch that failed before
+that is written anew when it comes again, and nothing reads what it left. A batch number that was accepted can't come twice.
 
 Unreadable JSON, null and blank contents, and contents without a word, are never cases nor history. Null ids are left out.
 """
@@ -28,21 +35,25 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.words import words
-from corpusloom.plans.lineage import written
+from corpusloom.plans.lineage import shared_folder, written
 
 SHARE, CLASS_BITS, HOT = 0.2, 18, 4000
+#: Words, or candidate classes, up to which stored tables are asked for just these; more are joined with them bucket by bucket.
+ASKED = 2000
 #: Classes whose numbers may be sent to every executor (8 bytes each); more are joined by a shuffle.
 SENT = 500_000
-#: Cells above this size are compared as matrices, in strips of as many rows.
-STRIP = 128
+#: Buckets of the stored tables: as many as tasks that join a batch. Rows of a page, the least that is read of a file.
+BUCKETS, PAGE = 32, 1000
 
 
 def block_content(text: str) -> str | None:
@@ -77,8 +88,8 @@ def _numbered(w: list[str]) -> np.ndarray:
     return np.sort(out >> np.uint64(32)).astype(np.uint32)
 
 
-def features(rows: DataFrame, id_col: str, text_col: str, content: Callable[[str], str | None], longs: int) -> DataFrame:
-    """The pivot-distance table: (id, class, n, parity array<bigint>, tokens array<int>)."""
+def features(rows: DataFrame, id_col: str, text_col: str, content: Callable[[str], str | None]) -> DataFrame:
+    """(id, class, tokens array<int>): the words of each content as a set of hashes; equal sets are one class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -90,248 +101,196 @@ def features(rows: DataFrame, id_col: str, text_col: str, content: Callable[[str
                 for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     c = content(t) if t and i is not None else None
                     w = words(c) if c else None
-                    if not w:
-                        continue
-                    e = np.unique(_numbered(w))
-                    pivots = np.bincount(e % np.uint32(64 * longs), minlength=64 * longs)
-                    parity = np.packbits((pivots & 1).astype(np.uint8)).view(np.int64)
-                    out.append((i, xxhash.xxh3_64_intdigest(e.tobytes()) - (1 << 63), len(e), parity, e.view(np.int32)))
-                cols = list(zip(*out)) if out else [(), (), (), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int32()))],
-                    names=["id", "class", "n", "parity", "tokens"],
-                )
+                    if w:
+                        e = np.unique(_numbered(w))
+                        out.append((i, xxhash.xxh3_64_intdigest(e.tobytes()) - (1 << 63), e.view(np.int32)))
+                cols = list(zip(*out)) if out else [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], names=["id", "class", "tokens"])
 
     src = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "id bigint, class bigint, n int, parity array<bigint>, tokens array<int>")
+    return src.mapInArrow(run, "id bigint, class bigint, tokens array<int>")
 
 
-def word_counts(table: DataFrame) -> np.ndarray:
-    """How often each hash class of words occurs, over all rows: 2^CLASS_BITS numbers whatever the corpus."""
+def slot_counts(table: DataFrame, column: str) -> np.ndarray:
+    """How often each hash class of words occurs in a column of words, alone or in arrays: 2^CLASS_BITS numbers whatever the corpus."""
     size = 1 << CLASS_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(size, np.int64)
         for batch in batches:
-            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-            n += np.bincount(flat >> np.uint32(32 - CLASS_BITS), minlength=size)
+            flat = batch.column(0).flatten() if pa.types.is_list(batch.schema.field(0).type) else batch.column(0)
+            n += np.bincount(flat.to_numpy(zero_copy_only=False).view(np.uint32) >> np.uint32(32 - CLASS_BITS), minlength=size)
         seen = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(n[seen])], names=["slot", "n"])
 
-    out = np.zeros(size, np.int64)
-    got = table.select("tokens").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return out
-
+    return _dense(table.select(column).mapInArrow(run, "slot int, n bigint"))
 
-def classes(table: DataFrame) -> DataFrame:
-    """One row for each class: its earliest id and what all its rows share."""
-    first = table.groupBy("class").agg(F.min(F.struct("id", "n", "parity", "tokens")).alias("r"))
-    return first.select("class", "r.id", "r.n", "r.parity", "r.tokens")
 
+def _dense(counts: DataFrame) -> np.ndarray:
+    out = np.zeros(1 << CLASS_BITS, np.int64)
+    got = counts.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
 
-def postings(table: DataFrame, counts: np.ndarray, longs: int) -> DataFrame:
-    """(key, block, other, class, n, p0..): the rarest words of each class, as many as the bound needs.
 
-    A class comes once from each partition, however many of its rows are there. A hot key has blocks; a row is in one of them
-    and goes to each pair of blocks with it, once.
-    """
-    shared = table.sparkSession.sparkContext.broadcast(counts)
-    names = [f"p{k}" for k in range(longs)]
+def postings(table: DataFrame, order: np.ndarray, longs: int) -> DataFrame:
+    """(key, class, n, place, p0..): the rarest words of each class, as many as the bound needs, and their places in the order."""
+    shared = table.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        seen: set[int] = set()
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
-                fresh = []
-                for k, c in enumerate(part.column("class").to_pylist()):
-                    if c not in seen:
-                        seen.add(c)
-                        fresh.append(k)
-                if not fresh:
-                    continue
-                part = part.take(pa.array(fresh))
-                own, n = part.column("class").to_numpy(), part.column("n").to_numpy()
+                own = part.column("class").to_numpy()
+                n = pa.compute.list_value_length(part.column("tokens")).to_numpy()
                 tokens = part.column("tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint32)
-                parity = part.column("parity").flatten().to_numpy(zero_copy_only=False).reshape(-1, longs)
                 row = np.repeat(np.arange(len(n)), n)
-                f = often[tokens >> np.uint32(32 - CLASS_BITS)]
-                order = np.lexsort((tokens, f, row))  # by row, rarest first
+                pivots = np.bincount(row * (64 * longs) + tokens % np.uint32(64 * longs), minlength=len(n) * 64 * longs)
+                parity = np.packbits((pivots & 1).astype(np.uint8)).view(np.int64).reshape(-1, longs)
+                by = np.lexsort((tokens, often[tokens >> np.uint32(32 - CLASS_BITS)], row))  # by row, rarest first
                 place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 need = n - np.array([math.ceil((1 - SHARE) * int(x) - 1e-9) for x in n]) + 1
-                take = order[place < need[row]]
-                row, key, f = row[take], tokens[take].view(np.int32), f[take]
-                blocks = np.maximum(1, -(-f // HOT))
-                copies = np.repeat(np.arange(len(row)), blocks)
-                other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                row, key = row[copies], key[copies]
-                block = own[row] % blocks[copies]
+                take = place < need[row]
+                row, key, place = row[take], tokens[by[take]].view(np.int32), place[take]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array((np.minimum(block, other) * (1 << 15) + np.maximum(block, other)).astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(own[row]), pa.array(n[row]), *[pa.array(parity[row, k]) for k in range(longs)]],
-                    names=["key", "cell", "block", "class", "n", *names],
+                    [pa.array(key), pa.array(own[row]), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(parity[row, k]) for k in range(longs)]],
+                    names=["key", "class", "n", "place", *[f"p{k}" for k in range(longs)]],
                 )
 
-    schema = "key int, cell int, block int, class bigint, n int, " + ", ".join(f"{p} bigint" for p in names)
-    return table.select("class", "n", "parity", "tokens").mapInArrow(run, schema)
-
-
-def _near(keyed: DataFrame, longs: int) -> DataFrame:
-    """(a, b), a < b: classes that share a key and that the pivots don't tell apart.
-
-    The postings are partitioned and sorted by key and cell; within a partition, rows at every distance in the same cell
-    are compared at once. Rows marked old are not compared with each other.
-    """
-    names = [f"p{k}" for k in range(longs)]
-    marked = keyed if "old" in keyed.columns else keyed.withColumn("old", F.lit(False))
-
-    def compare(columns: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        group = (columns["key"].astype(np.int64) << 32) | columns["cell"].astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        sizes = np.diff(np.append(starts, len(group)))
-        left = np.repeat(sizes, sizes) - (np.arange(len(group)) - np.repeat(starts, sizes)) - 1  # rows of the cell after this one
-        c, n, block, cell, old = (columns[x] for x in ("class", "n", "block", "cell", "old"))
-        pivots = [columns[x].view(np.uint64) for x in names]
-
-        def checked(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            good = (c[x] != c[y]) & ~(old[x] & old[y]) & ((block[x] != block[y]) | (cell[x] == block[x] * ((1 << 15) + 1)))
-            x, y = x[good], y[good]
-            if len(x):
-                yield np.minimum(c[x], c[y]), np.maximum(c[x], c[y])
-
-        # large cells: a strip of rows against all rows from its first on, as a matrix
-        for start, size in zip(starts[sizes > STRIP].tolist(), sizes[sizes > STRIP].tolist()):
-            for low in range(start, start + size, STRIP):
-                rows, cols = slice(low, min(low + STRIP, start + size)), slice(low, start + size)
-                apart = np.bitwise_count(pivots[0][rows, None] ^ pivots[0][None, cols]).astype(np.int32 if len(pivots) > 3 else np.uint8)
-                for p in pivots[1:]:
-                    apart += np.bitwise_count(p[rows, None] ^ p[None, cols])
-                i, j = np.nonzero(apart <= 2 * int(n[cols].max() * SHARE + 1e-9))
-                i, j = i + low, j + low
-                i, j = i[i < j], j[i < j]
-                larger = np.maximum(n[i], n[j])
-                bound = (larger * SHARE + 1e-9).astype(np.int32)
-                near = (np.minimum(n[i], n[j]) >= larger - bound) & (apart[i - low, j - low] <= 2 * bound)
-                yield from checked(i[near], j[near])
-        left[np.repeat(sizes, sizes) > STRIP] = 0
-        i = np.flatnonzero(left > 0)
-        lag = 0
-        while len(i):
-            lag += 1
-            j = i + lag
-            larger = np.maximum(n[i], n[j])
-            bound = (larger * SHARE + 1e-9).astype(np.int32)
-            near = np.minimum(n[i], n[j]) >= larger - bound
-            x, y, bound = i[near], j[near], bound[near]
-            apart = np.zeros(len(x), np.int32)
-            for p in pivots:
-                apart += np.bitwise_count(p[x] ^ p[y])
-            yield from checked(x[apart <= 2 * bound], y[apart <= 2 * bound])
-            i = i[left[i] > lag]
+    schema = "key int, class bigint, n int, place int, " + ", ".join(f"p{k} bigint" for k in range(longs))
+    return table.select("class", "tokens").mapInArrow(run, schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        rows = 0
 
-        def done(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-            columns = {x: whole.column(x).to_numpy() for x in whole.column_names}
-            found = list(compare(columns)) if whole.num_rows > 1 else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*found)], names=["a", "b"])
+def parted(keyed: DataFrame, counts: np.ndarray, asking: bool) -> DataFrame:
+    """With `part`: the part of a hot word that the row is stored in, or, asking, one row for each part there may be."""
+    parts = -(-counts // HOT)
+    if parts.max(initial=0) <= 1:
+        return keyed.withColumn("part", F.lit(0))
+    shared = keyed.sparkSession.sparkContext.broadcast(parts)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept.append(batch)
-            rows += batch.num_rows
-            if rows < 200_000:
-                continue
-            whole = pa.Table.from_batches(kept)
-            key, cell = whole.column("key").to_numpy(), whole.column("cell").to_numpy()
-            last = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
-            yield from done(whole.slice(0, cut))
-            kept = whole.slice(cut).combine_chunks().to_batches()
-            rows = whole.num_rows - cut
-        if kept:
-            yield from done(pa.Table.from_batches(kept))
-
-    ordered = marked.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _texts(table: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, tokens) of the wanted classes. Few of them are sent to the table, many are joined with it."""
-    if wanted.count() <= SENT:
-        wanted = F.broadcast(wanted)
-    return table.select("class", "tokens").join(wanted, "class", "left_semi").dropDuplicates(["class"])
-
-
-def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """Pairs whose true distance is within the bound."""
-    texts = _texts(table, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    x, y = texts.select(F.col("class").alias("a"), F.col("tokens").alias("x")), texts.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
-    larger = F.greatest(F.size("x"), F.size("y"))
-    distance = larger - F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").filter(distance <= F.floor(larger * SHARE + 1e-9)).select("a", "b")
+            n = np.maximum(1, shared.value[batch.column("key").to_numpy().view(np.uint32) >> np.uint32(32 - CLASS_BITS)])
+            if asking:
+                rows = np.repeat(np.arange(len(n)), n)
+                part = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+                yield from pa.Table.from_batches([batch.take(pa.array(rows))]).append_column("part", pa.array(part.astype(np.int32))).to_batches()
+            else:
+                yield from pa.Table.from_batches([batch]).append_column("part", pa.array((batch.column("class").to_numpy() % n).astype(np.int32))).to_batches()
+
+    return keyed.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema) + ", part int")
 
 
 def had_before(rows: DataFrame, id_col: str, text_col: str, content: Callable[[str], str | None], longs: int) -> DataFrame:
-    """(first_id, later_id) over a whole table: what ingesting its rows in the order of their ids would report."""
-    table = written(features(rows, id_col, text_col, content, longs), "pivots")
-    keyed = postings(table, word_counts(table), longs)
-    pairs = written(_near(keyed, longs), "pairs")
-    close = written(_verified(pairs, table), "near")
-    heads = table.groupBy("class").agg(F.min("id").alias("head"))
-    either = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    earliest = either.join(heads.withColumnRenamed("class", "a"), "a").groupBy(F.col("b").alias("class")).agg(F.min("head").alias("near"))
-    first = heads.join(earliest, "class", "left").select("class", F.least("head", "near").alias("first_id"))
-    return table.select("id", "class").join(first, "class").filter("id > first_id").select("first_id", F.col("id").alias("later_id"))
+    """(first_id, later_id) over a whole table, as one batch of an empty history."""
+    store = History(rows.sparkSession, f"{shared_folder(rows.sparkSession)}/history-{uuid.uuid4().hex}", content, longs)
+    return store.ingest(rows, id_col, text_col)
 
 
 class History:
     """What has been accepted so far, in a folder that all executors share; batches come in the order of their ids."""
 
-    def __init__(self, spark, folder: str, content: Callable[[str], str | None], longs: int = 2):
+    def __init__(self, spark, folder: str, content: Callable[[str], str | None], longs: int = 2, buckets: int | None = None):
         self.spark, self.folder, self.content, self.longs = spark, folder.rstrip("/"), content, longs
-
-    def _stored(self, name: str) -> DataFrame | None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        return self.spark.read.parquet(f"{self.folder}/{name}")
-
-    def ingest(self, batch: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(first_id, later_id) of the batch's rows; its new content becomes part of the history."""
-        table = written(features(batch, id_col, text_col, self.content, self.longs), "pivots")
-        stored = self._stored("counts")
-        if stored is None:
-            counts = word_counts(table)
-            seen = np.flatnonzero(counts)
-            self.spark.createDataFrame([(int(s), int(counts[s])) for s in seen], "slot int, n bigint").write.parquet(f"{self.folder}/counts")
-        else:
-            got = stored.toPandas()
-            counts = np.zeros(1 << CLASS_BITS, np.int64)
-            counts[got["slot"].to_numpy()] = got["n"].to_numpy()
-        reps = written(classes(table), "classes")
-        keyed = written(postings(reps, counts, self.longs), "postings")
-        old_reps, old_keyed = self._stored("classes"), self._stored("postings")
-        heads = reps.select("class", F.col("id").alias("head"))
-        known = reps.select("class", "tokens") if old_reps is None else reps.select("class", "tokens").unionByName(old_reps.select("class", "tokens"))
-        both = keyed.withColumn("old", F.lit(False))
-        if old_keyed is not None:  # only the keys of the batch are looked up
-            both = both.unionByName(old_keyed.join(keyed.select("key", "cell").distinct(), ["key", "cell"], "left_semi").select(keyed.columns).withColumn("old", F.lit(True)))
-        close = written(_verified(written(_near(both, self.longs), "pairs"), known), "near")
+        pivots = [f"p{k}" for k in range(longs)]
+        name = uuid.uuid4().hex
+        self.buckets = buckets or BUCKETS
+        self.tables = {}
+        for table, columns, by in (("classes", "class bigint, id bigint, tokens array<int>", "class"), ("firsts", "class bigint, first bigint", "class"), ("postings", "key int, part int, class bigint, n int, place int, " + ", ".join(f"{p} bigint" for p in pivots), "key, part")):
+            self.tables[table] = f"history_{table}_{name}"
+            clustered = f"clustered by ({by}) sorted by ({by.split(',')[0]}) into {self.buckets} buckets"
+            spark.sql(f"create table {self.tables[table]} ({columns}, batch int) using parquet options ('parquet.page.row.count.limit' '{PAGE}') partitioned by (batch) {clustered} location '{self.folder}/{table}'")
+            if self._there(table):
+                spark.catalog.recoverPartitions(self.tables[table])
+
+    def _there(self, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def accepted(self) -> list[int]:
+        """Numbers of the batches that were accepted whole."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/counts")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n.removeprefix("batch-")) for n in names if n.startswith("batch-") and self._there(f"counts/{n}/_SUCCESS"))
+
+    def _counts(self, name: str) -> np.ndarray:
+        return _dense(self.spark.read.schema("slot int, n bigint").parquet(f"{self.folder}/{name}"))
+
+    def _save(self, counts: np.ndarray, name: str) -> None:
+        seen = np.flatnonzero(counts)
+        rows = self.spark.createDataFrame(pa.table({"slot": pa.array(seen.astype(np.int32)), "n": pa.array(counts[seen])}))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+
+    def stored(self, table: str, batches: list[int]) -> DataFrame:
+        """The rows of the given batches."""
+        return self.spark.table(self.tables[table]).filter(F.col("batch").isin(batches))
+
+    def _append(self, rows: DataFrame, table: str, batch: int) -> None:
+        name = self.tables[table]
+        by = ["key", "part"] if table == "postings" else ["class"]
+        columns = [c for c in self.spark.table(name).columns if c != "batch"]
+        rows.repartition(self.buckets, *by).select(*columns).createOrReplaceTempView(f"{name}_more")
+        self.spark.sql(f"insert overwrite table {name} partition (batch = {batch}) select * from {name}_more")  # this partition alone
+        self.spark.catalog.dropTempView(f"{name}_more")
+
+    def _asked(self, rows: DataFrame, column: str, stored: DataFrame) -> DataFrame:
+        """The stored rows, without those that a small number of values can't have."""
+        values = rows.select(column).distinct().limit(ASKED + 1).collect()
+        return stored.filter(F.col(column).isin([v[0] for v in values])) if len(values) <= ASKED else stored
+
+    def near(self, asking: DataFrame, stored: DataFrame, batch: int) -> DataFrame:
+        """(a, b): each new class a with every class b that the keys, places and pivots don't tell apart; pairs of new ones once."""
+        bound = F.floor(F.greatest("n", "m") * SHARE + 1e-9).cast("int")
+        apart = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, self.longs)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
+        other = stored.select("key", "part", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(self.longs)], F.col("batch").alias("of"))
+        left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
+        near = ((F.col("of") < batch) | (F.col("class") < F.col("b"))) & (left >= F.greatest("n", "m") - bound) & (apart <= 2 * bound)
+        return asking.join(other, ["key", "part"]).filter(near).select(F.col("class").alias("a"), "b").distinct()
+
+    def verified(self, pairs: DataFrame, batches: list[int]) -> DataFrame:
+        """(a, b) whose true distance is within the bound. Few classes are sent to the stored ones, many are joined with them."""
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
+        stored = self._asked(wanted, "class", self.stored("classes", batches).select("class", "tokens"))
+        texts = written(stored.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, "class", "left_semi"), "texts")
+        x, y = texts.select(F.col("class").alias("a"), F.col("tokens").alias("x")), texts.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
+        larger = F.greatest(F.size("x"), F.size("y"))
+        distance = larger - F.size(F.array_intersect("x", "y"))
+        return pairs.join(x, "a").join(y, "b").filter(distance <= F.floor(larger * SHARE + 1e-9)).select("a", "b")
+
+    def ingest(self, batch: DataFrame, id_col: str, text_col: str, number: int | None = None) -> DataFrame:
+        """(first_id, later_id) of the batch's rows; its new content becomes part of the history. Without a number the batch is the next one."""
+        before = self.accepted()
+        number = number if number is not None else (before[-1] + 1 if before else 0)
+        if before and number <= before[-1]:
+            raise ValueError(f"batch {number} comes after batch {before[-1]}")
+        now = [*before, number]
+        table = written(features(batch, id_col, text_col, self.content), "contents")
+        heads = table.groupBy("class").agg(F.min("id").alias("id"))
+        known = self._asked(heads, "class", self.stored("classes", before)).select("class", "id")
+        firsts = self._asked(heads, "class", self.stored("firsts", before)).select("class", "first")
+        known = known.join(firsts, "class", "left").select("class", F.coalesce("first", "id").alias("known"))
+        heads = written(heads.join(known, "class", "left"), "heads")
+        self._append(table.join(heads.filter("known is null").select("class", "id"), ["class", "id"], "left_semi"), "classes", number)
+        fresh = self.stored("classes", [number])
+        if not before:
+            self._save(slot_counts(fresh, "tokens"), "order")
+        keyed = written(postings(fresh, self._counts("order"), self.longs), "postings")
+        added = slot_counts(keyed, "key")
+        counts = sum((self._counts(f"counts/batch-{n}") for n in before), added)
+        self._append(parted(keyed, counts, False), "postings", number)
+        asking = parted(keyed, counts, True)
+        if counts.max(initial=0) <= HOT:  # as they were stored: nothing is sent again
+            asking = self.stored("postings", [number]).drop("batch")
+        pairs = written(self.near(asking, self._asked(keyed, "key", self.stored("postings", now)), number), "pairs")
+        close = written(self.verified(pairs, now), "near")
         either = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = either.join(heads.withColumnRenamed("class", "a"), "a").select("b", "head")
-        if old_reps is not None:
-            before = old_reps.select(F.col("class").alias("a"), F.col("id").alias("head"))
-            near = near.unionByName(either.join(before, "a").select("b", "head"))
-            near = near.unionByName(heads.select(F.col("class").alias("a"), F.col("class").alias("b")).join(before, "a").select("b", "head"))
-        earliest = near.groupBy(F.col("b").alias("class")).agg(F.min("head").alias("near"))
-        first = heads.join(earliest, "class", "left").select("class", F.least("head", "near").alias("first_id"))
-        found = written(table.select("id", "class").join(first, "class").filter("id > first_id").select("first_id", F.col("id").alias("later_id")), "found")
-        known = reps if old_reps is None else reps.join(old_reps.select("class"), "class", "left_anti")
-        known = written(known, "new")
-        keyed.join(known.select("class"), "class", "left_semi").select(keyed.columns).write.mode("append").parquet(f"{self.folder}/postings")
-        known.write.mode("append").parquet(f"{self.folder}/classes")
+        ids = self._asked(either.select(F.col("b").alias("class")), "class", self.stored("classes", now).select("class", F.col("id").alias("head")))
+        earliest = either.join(ids.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.min("head").alias("near"))
+        self._append(heads.filter("known is null").join(earliest, "class").filter("near < id").select("class", F.col("near").alias("first")), "firsts", number)
+        firsts = self.stored("firsts", [number]).select("class", "first")
+        best = heads.join(firsts, "class", "left").select("class", F.coalesce("known", "first", "id").alias("first_id"))
+        found = written(table.select("id", "class").join(best, "class").filter("id > first_id").select("first_id", F.col("id").alias("later_id")), "found")
+        self._save(added, f"counts/batch-{number}")  # from here on the batch is accepted
         return found

@@ -48,25 +48,29 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivor.undisputed(table(spark, folder, "raw_merged_block"))
 
 
-def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    blocks = history.had_before(spread(table(spark, folder, "kb_block_state").select("arrival_id", "block_json")), "arrival_id", "block_json", history.block_content, 3)
-    bodies = history.had_before(spread(table(spark, folder, "document_record").select("arrival_id", "body_markdown")), "arrival_id", "body_markdown", history.body_content, 8)
-    named = lambda df, name: df.select(F.lit(name).alias("table_name"), "first_id", "later_id")
-    return named(blocks, "kb_block_state").unionByName(named(bodies, "document_record"))
-
-
-def p5_incremental(spark: SparkSession, folder: str) -> DataFrame:
-    """The same rows in two ingests: the first batches make the history, the last ones are looked up in it and appended."""
+def _ingested(spark: SparkSession, folder: str, bounds: list[int]) -> DataFrame:
+    """Both tables, each taken in by a history of its own in batches that end with the given batch numbers and the last one."""
     out = None
     for name, text, content, longs in (("kb_block_state", "block_json", history.block_content, 3), ("document_record", "body_markdown", history.body_content, 8)):
         rows = table(spark, folder, name).select("arrival_id", "batch_no", text)
         store = history.History(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}", content, longs)
-        for part in (rows.filter("batch_no <= 36"), rows.filter("batch_no > 36")):
+        for low, high in zip([None, *bounds], [*bounds, None]):
+            part = rows.filter((F.lit(True) if low is None else F.col("batch_no") > low) & (F.lit(True) if high is None else F.col("batch_no") <= high))
             found = store.ingest(spread(part), "arrival_id", text).select(F.lit(name).alias("table_name"), "first_id", "later_id")
             out = found if out is None else out.unionByName(found)
     return out
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """In three batches, of 20, 10 and the last 10 batch numbers, each checked against what was taken in before."""
+    return _ingested(spark, folder, [20, 30])
+
+
+def p5_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rows in other batches: the first 36 batch numbers make the history, the last four come one by one."""
+    return _ingested(spark, folder, [36, 37, 38, 39])
+
+
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "document_record").select("doc_id", "body_markdown", "language")
     model = language.fitted(docs, "doc_id", "body_markdown", "language")

@@ -2,9 +2,17 @@ import json
 import random
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from corpusloom.llm import history as H
 from corpusloom.llm.words import words
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(H, "BUCKETS", 3)
+
+
 VOCABULARY = [f"{a}{b}" for a in ("bel", "dor", "fin", "gal", "hul", "jin", "kor", "lem", "mar", "nop") for b in ("a", "ek", "is", "on", "um", "yx")]
 
 
@@ -61,12 +69,6 @@ def test_hot_keys(spark, monkeypatch):
     assert got(H.had_before(frame(spark, enumerate(texts)), "arrival_id", "body", H.body_content, 1)) == brute(texts)
 
 
-def test_matrix_strips(spark, monkeypatch):
-    monkeypatch.setattr(H, "STRIP", 4)
-    texts = corpus(200, 7)
-    assert got(H.had_before(frame(spark, enumerate(texts)), "arrival_id", "body", H.body_content, 3)) == brute(texts)
-
-
 def test_batches_give_the_same(spark, tmp_path):
     texts = corpus(120, 1)
     store = H.History(spark, str(tmp_path), H.body_content, 2)
@@ -76,6 +78,76 @@ def test_batches_give_the_same(spark, tmp_path):
     assert found == brute(texts)
 
 
+def _store(spark, folder, **more):
+    return H.History(spark, str(folder), H.body_content, 1, **more)
+
+
+def test_hot_words_become_parted_later(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(H, "HOT", 15)
+    texts = corpus(120, 5)
+    store, found = _store(spark, tmp_path), set()
+    for n, (low, high) in enumerate(((0, 12), (12, 80), (80, 120))):
+        found |= got(store.ingest(frame(spark, [(i, texts[i]) for i in range(low, high)]), "arrival_id", "body", n))
+    assert found == brute(texts)
+    parts = {r.batch: r.most for r in store.stored("postings", [0, 1, 2]).groupBy("batch").agg(F.max("part").alias("most")).collect()}
+    assert parts[0] < parts[2]
+
+
+def test_batches_are_whole(spark, tmp_path, monkeypatch):
+    texts = corpus(90, 6)
+    rows = lambda low, high: frame(spark, [(i, texts[i]) for i in range(low, high)])
+    store = _store(spark, tmp_path)
+    found = got(store.ingest(rows(0, 30), "arrival_id", "body", 4))
+    with monkeypatch.context() as m:  # the last write of a batch fails
+        m.setattr(H.History, "_save", lambda *a: 1 / 0)
+        try:
+            store.ingest(rows(30, 60), "arrival_id", "body", 5)
+        except ZeroDivisionError:
+            pass
+    assert store.accepted() == [4]
+    again = _store(spark, tmp_path)  # another session, with other rows under that number
+    found |= got(again.ingest(rows(30, 50), "arrival_id", "body", 5)) | got(again.ingest(rows(50, 90), "arrival_id", "body"))
+    assert found == brute(texts) and again.accepted() == [4, 5, 6]
+    try:
+        again.ingest(rows(0, 1), "arrival_id", "body", 6)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_a_small_batch_reads_little_of_the_history(spark, tmp_path, monkeypatch):
+    """What a batch of two rows reads of the stored postings doesn't grow with the history."""
+    monkeypatch.setattr(H, "PAGE", 50)
+    read = []
+    whole = H.History._asked
+
+    def counted(self, rows, column, stored):
+        out = whole(self, rows, column, stored)
+        if column == "key":
+            frame_ = out._jdf.queryExecution()
+            out.write.format("noop").mode("overwrite").save()
+            frame_.executedPlan().executeCollect()
+            plan, scans = frame_.executedPlan(), []
+            todo = [plan]
+            while todo:
+                p = todo.pop()
+                if p.getClass().getSimpleName() == "FileSourceScanExec":
+                    scans.append(p.metrics().apply("numOutputRows").value())
+                todo += [p.children().apply(k) for k in range(p.children().length())]
+            read.append(sum(scans))
+        return out
+
+    for n in (1500, 6000):
+        r = random.Random(n)
+        text = lambda: " ".join(f"{r.choice(VOCABULARY)}{r.randrange(3000)}" for _ in range(12))  # noqa: B023, E731
+        store = _store(spark, tmp_path / str(n), buckets=2)
+        store.ingest(frame(spark, [(i, text()) for i in range(n)]), "arrival_id", "body")
+        with monkeypatch.context() as m:
+            m.setattr(H.History, "_asked", counted)
+            store.ingest(frame(spark, [(n, text()), (n + 1, text())]), "arrival_id", "body")
+    assert read[0] < 1000 and read[1] < 1.5 * read[0] + 100
+
+
 def test_what_does_not_count(spark):
     a = "The nightly crew moves the **shared** index, then it rests. Zelha keeps 42 pages."
     b = "zelha keeps 42 pages!\n\nThe nightly crew   moves the shared index; then it rests"
