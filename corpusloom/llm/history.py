@@ -53,7 +53,7 @@ ASKED = 2000
 #: Classes whose numbers may be sent to every executor (8 bytes each); more are joined by a shuffle.
 SENT = 500_000
 #: Buckets of the stored tables: as many as tasks that join a batch. Rows of a page, the least that is read of a file.
-BUCKETS, PAGE = 32, 1000
+BUCKETS, PAGE = 16, 1000
 
 
 def block_content(text: str) -> str | None:

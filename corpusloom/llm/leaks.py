@@ -9,7 +9,7 @@ or more of the reference on one diagonal, up to one in eight of them different,
 edit distance of up to one in eight).
 
 Text that stands in the references of several items (SHARED words in a row) is left out, and so are the queries.
-The evaluation set is the stated, bounded side: it is taken in blocks of BLOCK items, each broadcast, and every block
+The evaluation set is the stated, bounded side: it is taken in blocks of at most about BLOCK items and BLOCK_CHARS characters, each broadcast, and every block
 goes over all rows. Null, blank and short texts hold nothing; repeated rows are reported under their own id.
 """
 
@@ -26,6 +26,8 @@ from corpusloom.llm.words import words
 from corpusloom.plans.lineage import written
 
 RUN, SEED, SHARED, BLOCK = 24, 6, 10, 5000
+#: Characters of a block of items on average, so that long references make more blocks.
+BLOCK_CHARS = 20_000_000
 #: Lengths of the windows that are compared; longer passages hold one of these. Where a passage is cut between two neighbouring equal words,
 #: with RUN words or more on each side, one side has no more than one in eight different. So only a passage that can't be cut needs a window of
 #: its own: it has at most one equal word among those RUN - 1 away from both ends, n - 47 different ones, which n // 8 allows up to n = 53.
@@ -209,7 +211,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, {item_col} bigint, exact boolean"
     sets = items.select(F.col(item_col).cast("bigint"), passage_col)
-    blocks = max(1, -(-sets.count() // BLOCK))
+    n, size = sets.agg(F.count("*"), F.coalesce(F.sum(F.char_length(passage_col)), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK), -(-size // BLOCK_CHARS))
     out = spark.createDataFrame([], schema)
     for b in range(blocks):
         own = sets if blocks == 1 else sets.filter(F.pmod(F.xxhash64(item_col), F.lit(blocks)) == b)

@@ -3,7 +3,8 @@
 Routes are the centres of a k-means on a bounded sample of vectors (at most SAMPLE rows, ROUTES centres). Every vector is stored in the cell of
 its nearest route and asks the PROBES cells of its nearest routes, so that the work grows with the vectors, not with
 their square; there is one route for CELL vectors. A cell above CELL_MOST vectors is cut
-into blocks by hash, and who asks the cell asks every block: nothing is left out.
+into blocks by hash, and who asks the cell asks every block: nothing is left out. Its askers are cut into groups of about ASKERS likewise,
+and each group meets each block, so no task holds more than about CELL_MOST + ASKERS vectors.
 
 Within a block the vectors are projected on PROJECTIONS random lines; the projections on each line are one sorted array. A query's window
 on a line is centred on its own projection. Windows start narrow and widen by RADII (virtual rehashing): a vector that
@@ -12,7 +13,7 @@ cosine; a query that has k verified vectors within the radius doesn't go on. Dis
 nearest are those of the highest cosine; the last radius covers every angle up to about 53 degrees, and a query that is
 still short of k after it is compared with the whole of its own cell.
 
-Usable vectors have as many numbers as most (DIMENSIONS), none of them NaN or infinite and not all zero. Repeated rows count once. Blocks with
+Usable vectors have the given number of numbers (`dimensions`), none of them NaN or infinite and not all zero. Repeated rows count once. Blocks with
 equal vectors are one vector in the search, with their members written out afterwards, so no copy hides another
 neighbour. Ties: by score, then by block_id. Fewer than k others give fewer rows.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusloom.plans.lineage import written
 
 DIMENSIONS, PROJECTIONS, PROBES = 96, 32, 4
-ROUTES, CELL, CELL_MOST = 16_384, 1000, 8192
+ROUTES, CELL, CELL_MOST, ASKERS = 16_384, 1000, 8192, 32_768
 #: The sample that the routes are fitted on: rows in all, rows for each route, rounds.
 SAMPLE, SAMPLE_EACH, ROUNDS = 65_536, 150, 8
 #: Unit distances at which windows are tried; half-width of a window for each of them, and hits needed of PROJECTIONS.
@@ -37,15 +38,15 @@ RADII = (0.3, 0.55, 0.9)
 HALF_WIDTH, HITS = 1.1, 0.5
 
 
-def usable(vectors: DataFrame, id_col: str = "block_id", vector_col: str = "embedding") -> DataFrame:
+def usable(vectors: DataFrame, id_col: str = "block_id", vector_col: str = "embedding", dimensions: int = DIMENSIONS) -> DataFrame:
     """(id, v): one row for each id; of an id with several vectors the one with the smallest hash."""
     v = F.col(vector_col)
-    sound = (F.size(v) == DIMENSIONS) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    sound = (F.size(v) == dimensions) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     return vectors.filter(F.col(id_col).isNotNull() & sound).select(F.col(id_col).alias("id"), v.cast("array<float>").alias("v")).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
 
 
 def _units(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIMENSIONS).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).reshape(max(1, len(column)), -1)[: len(column)].astype(np.float64)
     flat = flat / np.abs(flat).max(axis=1, keepdims=True)
     return (flat / np.linalg.norm(flat, axis=1, keepdims=True)).astype(np.float32)
 
@@ -56,7 +57,7 @@ def routes(distinct: DataFrame) -> np.ndarray:
     want = min(ROUTES, max(1, n // CELL))
     column = distinct.select("v").orderBy(F.xxhash64("v", F.lit(11))).limit(min(SAMPLE, SAMPLE_EACH * want)).toArrow().column("v").combine_chunks()
     if not len(column):
-        return np.zeros((0, DIMENSIONS), np.float32)
+        return np.zeros((0, 1), np.float32)
     sample = _units(column)
     centres = sample[:want].copy()
     for _ in range(ROUNDS):
@@ -116,10 +117,10 @@ def _nearest(queries: np.ndarray, data: np.ndarray, same: np.ndarray, home: np.n
     return best, score
 
 
-def nearest(vectors: DataFrame, k: int = 5, id_col: str = "block_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, id_col: str = "block_id", vector_col: str = "embedding", dimensions: int = DIMENSIONS) -> DataFrame:
     """(id, neighbour, score, place) with place from 1 to k."""
     spark = vectors.sparkSession
-    singles = usable(vectors, id_col, vector_col)
+    singles = usable(vectors, id_col, vector_col, dimensions)
     # equal vectors: the smallest id stands for all
     groups = written(singles.groupBy("v").agg(F.min("id").alias("head"), F.count("*").alias("n")).withColumn("v", F.col("v")), "vectors")
     chosen = routes(groups)
@@ -138,16 +139,17 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "block_id", vector_col
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(home.astype(np.int32)), pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["head", "v", "home", "near"])
 
     routed = written(groups.select("head", "v").mapInArrow(route, "head string, v array<float>, home int, near array<int>"), "routed")
-    sizes = {r.home: r.n for r in routed.groupBy("home").agg(F.count("*").alias("n")).collect()}  # at most ROUTES rows
-    blocks = {c: -(-n // CELL_MOST) for c, n in sizes.items()}
-    number = F.element_at(F.map_from_arrays(F.array(*[F.lit(c) for c in blocks]), F.array(*[F.lit(b) for b in blocks.values()])), F.col("cell")) if blocks else F.lit(1)
-    if max(blocks.values()) == 1:
-        number = F.lit(1)
-    asks = routed.select("head", "v", F.explode("near").alias("cell"), (F.col("home")).alias("home")).withColumn("number", F.coalesce(number, F.lit(0)))
-    asks = asks.select("head", "v", "cell", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("number") - 1))).alias("block"), F.lit(False).alias("stored"), (F.col("home") == F.col("cell")).alias("own"))
-    stored = routed.select("head", "v", F.col("home").alias("cell")).withColumn("number", number)
-    stored = stored.select("head", "v", "cell", F.pmod(F.xxhash64("head"), F.col("number")).cast("int").alias("block"), F.lit(True).alias("stored"), F.lit(True).alias("own"))
-    lines = np.random.RandomState(5).standard_normal((DIMENSIONS, PROJECTIONS)).astype(np.float32)
+    # a cell's blocks of stored vectors and, apart from them, of askers; a table of at most ROUTES rows
+    hits = routed.select(F.explode("near").alias("cell")).groupBy("cell").agg(F.count("*").alias("asking"))
+    cells = routed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("n")).join(hits, "cell", "left")
+    cells = F.broadcast(written(cells.select("cell", F.ceil(F.col("n") / CELL_MOST).cast("int").alias("number"), F.ceil(F.col("asking") / ASKERS).cast("int").alias("groups")), "cells"))
+    part = lambda n, seed: F.pmod(F.xxhash64("head", F.lit(seed)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asks = routed.select("head", "v", F.explode("near").alias("cell"), "home").join(cells, "cell")  # a cell without stored vectors has nothing to ask
+    asks = asks.select("head", "v", "cell", each(F.col("number")).alias("block"), part(F.col("groups"), 1).alias("group"), F.lit(False).alias("stored"), (F.col("home") == F.col("cell")).alias("own"))
+    stored = routed.select("head", "v", F.col("home").alias("cell")).join(cells.filter("groups is not null"), "cell").withColumn("block", part(F.col("number"), 0))
+    stored = stored.select("head", "v", "cell", "block", each(F.col("groups")).alias("group"), F.lit(True).alias("stored"), F.lit(True).alias("own"))
+    lines = np.random.RandomState(5).standard_normal((dimensions, PROJECTIONS)).astype(np.float32)
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -164,7 +166,7 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "block_id", vector_col
         there = best >= 0
         return pa.table({"head": pa.array(np.repeat(heads[queries], there.sum(axis=1)).tolist(), pa.string()), "near": pa.array(heads[data][best[there]].tolist(), pa.string()), "score": pa.array(score[there])})
 
-    found = stored.unionByName(asks).groupBy("cell", "block").applyInArrow(search, "head string, near string, score float")
+    found = stored.unionByName(asks).groupBy("cell", "block", "group").applyInArrow(search, "head string, near string, score float")
     order = Window.partitionBy("head").orderBy(F.desc("score"), "near")
     top = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("place")
     # members of groups of equal vectors: the k smallest others of the own group first, then the k smallest of each neighbouring group

@@ -45,13 +45,17 @@ def boundaries(text: str) -> tuple[list[int], list[int]]:
     for m in _HEADING.finditer(text):
         add(m.start(), HEADING)
     marks = list(_FENCE.finditer(text))
-    for opening, closing in zip(marks[::2], marks[1::2]):
-        add(opening.start(), FENCE)
-        add(closing.end(), max(FENCE, strength.get(closing.end(), 0)))
-        for at in strength:
-            if opening.start() < at < closing.end():  # within the fence its lines are weaker than a sentence outside
-                strength[at] = CLAUSE if strength[at] >= LINE else WORD
+    fences = [(opening.start(), closing.end()) for opening, closing in zip(marks[::2], marks[1::2])]
+    for low, high in fences:
+        add(low, FENCE)
+        add(high, FENCE)
     places = sorted(strength)
+    at = 0
+    for low, high in fences:  # both in text order: one pass
+        at = bisect_right(places, low, at)
+        while at < len(places) and places[at] < high:  # within the fence its lines are weaker than a sentence outside
+            strength[places[at]] = CLAUSE if strength[places[at]] >= LINE else WORD
+            at += 1
     return places, [strength[p] for p in places]
 
 
