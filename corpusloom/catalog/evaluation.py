@@ -127,11 +127,10 @@ def _tiers(spark, folder):
     v, q = vectors(spark, folder), asked(spark, folder)
     n = v.count()
     sizes = E.tier_sizes(100, n)
-    ordinals = v.select("block_id", F.col("block_id").alias("ordinal"))
     scored = q.select("query_id", F.col("vector").alias("q"))
-    # the stated queries against all rows, by partitions of the rows
-    ranked = similarity.nearest(q, v, n).select("query_id", "block_id", "score")
-    tiers = E.in_tiers(ranked, ordinals, sizes, 5)
+    # the stated queries against all rows, by partitions of the rows; of each band of rows only the best are kept
+    ranked = similarity.nearest(q, v.withColumn("band", E.band(F.col("block_id"), sizes)), 5, within="band")
+    tiers = E.in_tiers(ranked, sizes, 5)
     every = scored.select("query_id", F.explode(F.array(*[F.lit(n) for n in range(len(sizes))])).alias("tier"))
     return tiers, every
 

@@ -12,22 +12,21 @@ from pyspark.sql import functions as F
 _FENCE = re.compile(r"^\s*```[A-Za-z]*\s*\n(.*?)\n?\s*```\s*$", re.S)
 
 
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*("?)|[\[\]{}]', re.S)
+
+
 def _closed(s: str) -> str:
     """Open strings and brackets closed, commas before a closing bracket dropped."""
-    stack, quoted, escaped = [], False, False
-    for ch in s:
-        if quoted:
-            escaped = ch == "\\" and not escaped
-            quoted = ch != '"' or escaped
-            if ch != "\\":
-                escaped = False if ch != '"' else escaped and False
-            continue
-        if ch == '"':
-            quoted, escaped = True, False
-        elif ch in "[{":
-            stack.append("]" if ch == "[" else "}")
-        elif ch in "]}" and stack:
+    stack, quoted = [], False
+    for m in _TOKEN.finditer(s):
+        if m[0][0] == '"':
+            quoted = not m[1]  # only the last string can be open
+        elif m[0] in "[{":
+            stack.append("]" if m[0] == "[" else "}")
+        elif stack:
             stack.pop()
+    if quoted and (len(s) - len(s.rstrip("\\"))) % 2:
+        s = s[:-1]  # half an escape
     out = s + ('"' if quoted else "")
     out = re.sub(r"[,:]\s*$", "", out) + "".join(reversed(stack))
     return re.sub(r",\s*([\]}])", r"\1", out)

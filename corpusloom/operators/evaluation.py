@@ -75,13 +75,18 @@ def tier_sizes(least: int, most: int, growth: float = GROWTH, cap: int | None =
     return [*out, most]
 
 
-def in_tiers(ranked: DataFrame, ordinals: DataFrame, sizes: Sequence[int], k: int, query_id: str = "query_id", id_col: str = "block_id") -> DataFrame:
+def band(ordinal: Column, sizes: Sequence[int]) -> Column:
+    """The first tier that holds a row: the number of sizes that its ordinal isn't below."""
+    return F.aggregate(F.array(*[F.lit(s) for s in sizes]), F.lit(0), lambda n, s: n + (ordinal >= s).cast("int"))
+
+
+def in_tiers(ranked: DataFrame, sizes: Sequence[int], k: int, query_id: str = "query_id", id_col: str = "block_id") -> DataFrame:
     """The first k of each query in each nested tier: (tier, tier_size, query_id, id_col, score, rank).
 
-    ranked: all scored rows of the queries. A tier holds the rows whose ordinal is below its size.
+    ranked: at least the k best rows of each query and `band`; a tier's best are among those of its own band and the lower ones.
     """
-    tiers = F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("tier"), F.lit(s).alias("tier_size")) for n, s in enumerate(sizes)]), lambda t: F.col("ordinal") < t["tier_size"]))
-    rows = ranked.join(ordinals, id_col).select(query_id, id_col, "score", tiers.alias("t")).select("t.*", query_id, id_col, "score")
+    tiers = F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("tier"), F.lit(s).alias("tier_size")) for n, s in enumerate(sizes)]), lambda t: F.col("band") <= t["tier"]))
+    rows = ranked.select(query_id, id_col, "score", tiers.alias("t")).select("t.*", query_id, id_col, "score")
     w = Window.partitionBy("tier", query_id).orderBy(F.desc("score"), id_col)
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from corpusloom.plans.lineage import written
 
 
-def components(nodes: DataFrame, edges: DataFrame, id_col: str = "block_id", rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, id_col: str = "block_id") -> DataFrame:
     """(id_col, cluster_id): the least id of each connected component, single nodes included.
 
     Each round, every edge is replaced by edges from its ends to the least neighbour seen (large star, then small star), so the
-    graph becomes stars in about log(longest path) rounds; each round is written to the shared folder.
+    graph becomes stars in about log(longest path) rounds; each round is written to the shared folder. It ends when a round changes nothing.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v")
     current = written(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         around = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = around.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

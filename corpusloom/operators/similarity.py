@@ -15,6 +15,10 @@ from corpusloom.functions.text import dot
 
 #: Query vectors broadcast at once; more are taken in further passes over the data.
 QUERY_BYTES = 64 << 20
+#: Numbers of one product of queries and rows.
+PRODUCT = 4 << 20
+#: Rows of a bucket of equal signatures that are compared with one another at once; larger ones are cut into pairs of blocks.
+BUCKET = 2048
 #: Vectors of a block of the exact join; tables above SPREAD blocks take larger ones, up to WIDE, so that fewer copies are sent.
 BLOCK, SPREAD, WIDE = 2048, 8, 8192
 
@@ -33,19 +37,20 @@ def top_k(scores: DataFrame, group: list[str], k: int, *order: Column) -> DataFr
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, data: DataFrame, k: int, query_id: str = "query_id", id_col: str = "block_id", vector_col: str = "vector", digits: int = 6, exclude_self: bool = False, other_than: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, data: DataFrame, k: int, query_id: str = "query_id", id_col: str = "block_id", vector_col: str = "vector", digits: int = 6, exclude_self: bool = False, other_than: str | None = None, within: str | None = None) -> DataFrame:
     """Exact: (query_id, id_col, score, rank) of the k rows of highest dot product, ties by id.
 
     other_than: a column of both sides; rows that have the query's value, and nulls, are left out before the k are taken.
+    within: a column of few whole numbers of the data; the k are taken, and ranked, for each of its values, which comes out as well.
 
     The query set is the stated side: it is sent to the partitions of the data in blocks of bounded size, each task keeps its
-    best k for each query, and one window merges them.
+    best k for each query, and one window merges them. A product in a task holds at most about PRODUCT numbers.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     spark = data.sparkSession
     q_type, d_type = queries.schema[query_id].dataType.simpleString(), data.schema[id_col].dataType.simpleString()
-    schema = f"{query_id} {q_type}, {id_col} {d_type}, score double"
+    schema = f"{query_id} {q_type}, {id_col} {d_type}, score double, band int"
     more = [other_than] if other_than else []
     size = queries.agg(F.count("*").alias("n"), F.max(F.size(vector_col)).alias("d")).first()
     passes = max(1, math.ceil((size.n or 0) * (size.d or 1) * 8 / QUERY_BYTES))
@@ -62,26 +67,33 @@ def nearest(queries: DataFrame, data: DataFrame, k: int, query_id: str = "query_
                 number = {x: n for n, x in enumerate({x for x in values if x is not None})}
                 taken = np.array([number.get(x, -1) for x in values])
             for batch in batches:
-                for at in range(0, batch.num_rows, 4096):
-                    part = batch.slice(at, 4096)
-                    m = _matrix(part.column(1))
-                    if m.shape[1] != q.shape[1]:
-                        raise ValueError("vectors of different length")
-                    s = np.round(q @ m.T, digits)
-                    if values:
-                        # -1: null, -2: a value that no query has
-                        own = np.array([-1 if x is None else number.get(x, -2) for x in part.column(2).to_pylist()])
-                        s[(taken[:, None] == own) | (taken == -1)[:, None] | (own == -1)] = -np.inf
-                    take = min(k + int(exclude_self), part.num_rows)
-                    # everything that ties with the last kept one stays, for the window to decide by id
-                    least = np.partition(s, -take, axis=1)[:, -take]
-                    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), part.column(0).take(pa.array(j)), pa.array(s[i, j])], names=[query_id, id_col, "score"])
-
-        out = out.unionByName(data.select(id_col, vector_col, *more).mapInArrow(run, schema))
+                for low in range(0, batch.num_rows, 4096):
+                    whole = batch.slice(low, 4096)
+                    bands = whole.column(2).to_numpy(zero_copy_only=False)
+                    for band in np.unique(bands):
+                        part = whole.take(pa.array(np.flatnonzero(bands == band)))
+                        m = _matrix(part.column(1))
+                        if m.shape[1] != q.shape[1]:
+                            raise ValueError("vectors of different length")
+                        take, step = min(k + int(exclude_self), part.num_rows), max(1, PRODUCT // part.num_rows)
+                        for first in range(0, len(q), step):
+                            s = np.round(q[first : first + step] @ m.T, digits)
+                            if values:
+                                # -1: null, -2: a value that no query has
+                                own = np.array([-1 if x is None else number.get(x, -2) for x in part.column(3).to_pylist()])
+                                of = taken[first : first + step, None]
+                                s[(of == own) | (of == -1) | (own == -1)] = -np.inf
+                            # everything that ties with the last kept one stays, for the window to decide by id
+                            least = np.partition(s, -take, axis=1)[:, -take]
+                            i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(i + first)), part.column(0).take(pa.array(j)), pa.array(s[i, j]), pa.array(np.full(len(i), band, np.int32))], names=[query_id, id_col, "score", "band"])
+
+        out = out.unionByName(data.select(id_col, vector_col, (F.col(within) if within else F.lit(0)).cast("int").alias("band"), *more).mapInArrow(run, schema))
     if exclude_self:
         out = out.filter(F.col(query_id) != F.col(id_col))
-    return top_k(out, [query_id], k, F.desc("score"), F.col(id_col))
+    if within:
+        return top_k(out.withColumnRenamed("band", within), [query_id, within], k, F.desc("score"), F.col(id_col))
+    return top_k(out.drop("band"), [query_id], k, F.desc("score"), F.col(id_col))
 
 
 def pairs_above(vectors: DataFrame, threshold: float, id_col: str = "block_id", vector_col: str = "vector", digits: int = 6, blocks: int | None = None) -> DataFrame:
@@ -139,7 +151,8 @@ def candidates(vectors: DataFrame, dimension: int, k: int = 6, tables: int = 20,
     """(a, b) of vectors that share a signature in any table, each pair once: only its lowest common table reports it.
 
     Rows are partitioned and sorted by (table, signature); within a partition, rows at every distance in the same bucket are
-    compared at once. Each row brings its signatures, so no pair needs a shuffle to be told apart from its copies.
+    compared at once. Each row brings its signatures, so no pair needs a shuffle to be told apart from its copies. A bucket above
+    BUCKET rows is cut into blocks by hash, and each pair of its blocks is a group of its own, so none is held whole by a task.
     """
     planes = hyperplanes(dimension, k, tables, seed).reshape(tables * k, dimension)
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -164,9 +177,12 @@ def candidates(vectors: DataFrame, dimension: int, k: int = 6, tables: int = 20,
             t, key = whole.column("t").to_numpy(), whole.column("key").to_numpy()
             s = whole.column("s").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, tables)
             ids = whole.column("id").combine_chunks()
+            cell, block = whole.column("cell").to_numpy(), whole.column("block").to_numpy()
             group = t.astype(np.int64) << 32 | key
-            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            fresh = (group[1:] != group[:-1]) | (cell[1:] != cell[:-1])
+            starts = np.flatnonzero(np.concatenate([[True], fresh]))
             sizes = np.diff(np.append(starts, n))
+            alone = cell == block * (1 + (1 << 31))  # a block with itself
             left = np.repeat(sizes, sizes) - (np.arange(n) - np.repeat(starts, sizes)) - 1
             i, lag = np.flatnonzero(left > 0), 0
             before = np.arange(tables)
@@ -174,6 +190,7 @@ def candidates(vectors: DataFrame, dimension: int, k: int = 6, tables: int = 20,
                 lag += 1
                 for at in range(0, len(i), 100_000):
                     x = i[at : at + 100_000]
+                    x = x[alone[x] | (block[x] != block[x + lag])]
                     lowest = ~((s[x] == s[x + lag]) & (before < t[x, None])).any(axis=1)
                     if lowest.any():
                         x = x[lowest]
@@ -186,8 +203,8 @@ def candidates(vectors: DataFrame, dimension: int, k: int = 6, tables: int = 20,
             if rows < 100_000:
                 continue
             whole = pa.Table.from_batches(kept)
-            t, key = whole.column("t").to_numpy(), whole.column("key").to_numpy()
-            last = np.flatnonzero((t != t[-1]) | (key != key[-1]))
+            t, key, cell = (whole.column(c).to_numpy() for c in ("t", "key", "cell"))
+            last = np.flatnonzero((t != t[-1]) | (key != key[-1]) | (cell != cell[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             yield from done(whole.slice(0, cut))
             kept, rows = whole.slice(cut).combine_chunks().to_batches(), whole.num_rows - cut
@@ -195,7 +212,14 @@ def candidates(vectors: DataFrame, dimension: int, k: int = 6, tables: int = 20,
             yield from done(pa.Table.from_batches(kept))
 
     signed = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(sign, f"t int, key int, id {kind}, s array<int>")
-    found = signed.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(pair, f"p {kind}, q {kind}")
+    hot = signed.groupBy("t", "key").agg(F.ceil(F.count("*") / BUCKET).alias("blocks")).filter("blocks > 1")
+    if hot.isEmpty():
+        celled = signed.withColumn("block", F.lit(0).cast("bigint")).withColumn("cell", F.lit(0).cast("bigint"))
+    else:
+        blocks = signed.join(hot, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        other = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        celled = other.withColumn("cell", F.least("block", "other") + F.shiftleft(F.greatest("block", "other"), 31)).drop("blocks", "other")
+    found = celled.repartition("t", "key", "cell").sortWithinPartitions("t", "key", "cell").mapInArrow(pair, f"p {kind}, q {kind}")
     return found.filter("p != q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 

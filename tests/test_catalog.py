@@ -50,8 +50,8 @@ def duck():
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     got = df.collect()
-    if name not in SQL:
-        assert df.columns
+    if name not in SQL:  # values are compared in the tests of the operators
+        assert got and all(c == "error" or any(r[c] is not None for r in got) for c in df.columns)
         return
     want = duck.sql(SQL[name])
     assert sorted(want.columns) == sorted(df.columns)

@@ -218,6 +218,36 @@ def test_summary_sentences(spark):
     assert got[0].s == ["Title", "First one", "Second link", "item", "rest", "~~~", "never closed"] and got[1].s is None
 
 
+def test_components_of_a_long_path(spark):
+    n = 300
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "block_id long")
+    edges = spark.createDataFrame([((i * 7) % n, ((i + 1) * 7) % n) for i in range(n - 1)], "a long, b long")
+    assert {r.cluster_id for r in graph.components(nodes, edges).collect()} == {0}
+
+
+def test_hot_bucket(spark, monkeypatch):
+    rng = np.random.RandomState(2)
+    rows = [(i, [1.0, 0.0, float(x)]) for i, x in enumerate(rng.rand(60) / 1000)]
+    v = spark.createDataFrame(rows, "block_id long, vector array<double>")
+    whole = {tuple(r) for r in similarity.candidates(v, 3, 2, 3).collect()}
+    monkeypatch.setattr(similarity, "BUCKET", 7)
+    cut = [tuple(r) for r in similarity.candidates(v, 3, 2, 3).collect()]
+    assert len(cut) == len(set(cut)) and set(cut) == whole and len(whole) > 100
+
+
+def test_nearest_in_small_products(spark, monkeypatch):
+    rng = np.random.RandomState(4)
+    d, q = rng.standard_normal((90, 5)), rng.standard_normal((7, 5))
+    data = spark.createDataFrame([(i, [float(x) for x in r], i % 3) for i, r in enumerate(d)], "block_id long, vector array<double>, band int")
+    asked = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(q)], "query_id long, vector array<double>")
+    monkeypatch.setattr(similarity, "PRODUCT", 50)
+    got = {(r.query_id, r["rank"]): r.block_id for r in similarity.nearest(asked, data, 4).collect()}
+    best = np.argsort(-(q @ d.T), axis=1)
+    assert got == {(i, k + 1): best[i, k] for i in range(7) for k in range(4)}
+    got = {(r.query_id, r.band, r["rank"]): r.block_id for r in similarity.nearest(asked, data, 2, within="band").collect()}
+    assert got == {(i, b, k + 1): [x for x in best[i] if x % 3 == b][k] for i in range(7) for b in range(3) for k in range(2)}
+
+
 def test_shared_folder(spark, monkeypatch):
     from corpusloom.plans import lineage
 
@@ -245,6 +275,7 @@ def test_write_markdown_names_a_file_system(spark, tmp_path):
 def test_noisy_json():
     assert noisy_json.salvage('```json\n{"a": 1,}\n```') == {"a": 1}
     assert noisy_json.salvage('Sure: [{"a": 1}, {"b": 2') in ([{"a": 1}, {"b": 2}], [{"a": 1}])
+    assert noisy_json.salvage('{"a": "say \\"hi') == {"a": 'say "hi'} and noisy_json.salvage('{"a": "x\\\\", "b": ["y\\') == {"a": "x\\", "b": ["y"]}
     assert noisy_json.salvage("nothing") is None and noisy_json.salvage(None) is None
 
 
