@@ -31,6 +31,8 @@ from corpusloom.plans.lineage import written
 
 DIMENSIONS, PROJECTIONS, PROBES = 96, 32, 4
 ROUTES, CELL, CELL_MOST, ASKERS = 16_384, 1000, 8192, 32_768
+#: Numbers of one table of hits, of queries and stored vectors.
+PRODUCT = 1 << 20
 #: The sample that the routes are fitted on: rows in all, rows for each route, rounds.
 SAMPLE, SAMPLE_EACH, ROUNDS = 65_536, 150, 8
 #: Unit distances at which windows are tried; half-width of a window for each of them, and hits needed of PROJECTIONS.
@@ -79,41 +81,42 @@ def _nearest(queries: np.ndarray, data: np.ndarray, same: np.ndarray, home: np.n
     projected = data @ lines
     order = np.argsort(projected, axis=0)
     arrays = [np.ascontiguousarray(projected[order[:, i], i]) for i in range(PROJECTIONS)]
-    members = [np.ascontiguousarray(order[:, i]) for i in range(PROJECTIONS)]
+    # the place of each vector in each sorted array: a window holds the places from its first one on, up to its width
+    places = np.empty((PROJECTIONS, n), np.uint16 if n < 1 << 16 else np.uint32)
+    for i in range(PROJECTIONS):
+        places[i, order[:, i]] = np.arange(n)
     asked = queries @ lines
-    open_ = np.arange(len(queries))
-
-    def keep(q: int, candidates: np.ndarray) -> None:
-        cosine = data[candidates] @ queries[q]
-        own = candidates != same[q]
-        candidates, cosine = candidates[own], cosine[own]
-        if len(candidates) > take:
-            part = np.argpartition(-cosine, take - 1)[:take]
-            candidates, cosine = candidates[part], cosine[part]
-        top = np.argsort(-cosine, kind="stable")
-        best[q, : len(top)] = candidates[top]
-        best[q, len(top) :] = -1
-        score[q, : len(top)] = cosine[top]
-        score[q, len(top) :] = -2
 
+    def keep(q: np.ndarray, collided: np.ndarray | None) -> None:
+        cosine = queries[q] @ data.T
+        if collided is not None:
+            cosine[~collided] = -2
+        own = np.flatnonzero(same[q] >= 0)
+        cosine[own, same[q[own]]] = -2
+        top = np.argpartition(-cosine, take - 1, axis=1)[:, :take] if n > take else np.tile(np.arange(n), (len(q), 1))
+        value = np.take_along_axis(cosine, top, axis=1)
+        by = np.argsort(-value, axis=1, kind="stable")
+        value = np.take_along_axis(value, by, axis=1)
+        best[q, :take] = np.where(value > -2, np.take_along_axis(top, by, axis=1), -1)
+        score[q, :take] = value
+
+    step, open_ = max(1, PRODUCT // max(1, n)), np.arange(len(queries))
     for radius in RADII:
         half = HALF_WIDTH * radius
-        low = np.stack([np.searchsorted(arrays[i], asked[open_, i] - half) for i in range(PROJECTIONS)], axis=1)
-        high = np.stack([np.searchsorted(arrays[i], asked[open_, i] + half, "right") for i in range(PROJECTIONS)], axis=1)
-        still = []
-        for row, q in enumerate(open_):
-            hit = np.concatenate([m[a:b] for m, a, b in zip(members, low[row].tolist(), high[row].tolist())])
-            counts = np.bincount(hit, minlength=n)
-            keep(q, np.flatnonzero(counts >= HITS * PROJECTIONS))
-            if take and score[q, take - 1] < 1 - radius * radius / 2:
-                still.append(q)
-        open_ = np.array(still, np.int64)
+        for at in range(0, len(open_), step):
+            q = open_[at : at + step]
+            hits = np.zeros((len(q), n), np.uint8)
+            for i in range(PROJECTIONS):
+                low = np.searchsorted(arrays[i], asked[q, i] - half)
+                width = np.searchsorted(arrays[i], asked[q, i] + half, "right") - low
+                hits += places[i] - low.astype(places.dtype)[:, None] < width.astype(places.dtype)[:, None]  # unsigned: places before the window are far behind it
+            keep(q, hits >= HITS * PROJECTIONS)
+        open_ = open_[score[open_, take - 1] < 1 - radius * radius / 2]
         if not len(open_):
             return best, score
-    if len(open_):
-        everything = np.arange(n)
-        for q in open_[home[open_]]:
-            keep(q, everything)
+    short = open_[home[open_]]
+    for at in range(0, len(short), step):
+        keep(short[at : at + step], None)
     return best, score
 
 
