@@ -27,11 +27,17 @@ def refined(query):
     return F.regexp_replace(query, r"^\s*\S+\s+", "")
 
 
-def ask(questions: DataFrame, search: Search, least: float = 0.5, rounds: int = 2, refine=refined) -> DataFrame:
+def first_text(texts):
+    """Offline reader: the best evidence itself."""
+    return F.get(texts, 0)
+
+
+def ask(questions: DataFrame, search: Search, least: float = 0.5, rounds: int = 2, refine=refined, read=first_text) -> DataFrame:
     """(query_id, answer, block_id, relevance, abstained, reason, confidence).
 
     questions: query_id, query. search: gives (query_id, block_id, text, score, rank). Only questions whose evidence is graded
-    below `least` are refined and searched again; of all rounds the best-graded evidence is kept.
+    below `least` are refined and searched again; of all rounds the best-graded evidence is kept. read: makes the answer of the texts of up to
+five blocks, best first; it is faithful as far as its words are in them.
     """
     todo = written(questions.select("query_id", "query"), "questions")
     best = None
@@ -43,10 +49,14 @@ def ask(questions: DataFrame, search: Search, least: float = 0.5, rounds: int =
         todo = written(todo.join(grades.filter(F.col("relevance") < least), "query_id", "left_semi").withColumn("query", refine(F.col("query"))).filter("query != ''"), "questions")
         if n == rounds or todo.isEmpty():
             break
-    kept = best.groupBy("query_id").agg(F.max(F.struct("relevance", -F.col("round"))).alias("b"), F.max_by(F.struct("block_id", "text", "relevance"), F.struct("relevance", -F.col("round"), -F.coalesce("rank", F.lit(0)))).alias("e"), F.count("block_id").alias("found"))
-    faithful = reading.overlap_faithfulness(T.latin_tokens(F.col("e.text")), T.latin_tokens(F.col("e.text")))
-    gate = reading.gated(F.col("e.text"), F.col("found"), faithful, F.col("e.relevance"))
-    return kept.select("query_id", F.when(gate["abstained"], F.lit(None)).otherwise(F.col("e.text")).alias("answer"), F.col("e.block_id").alias("block_id"), F.round("e.relevance", 6).alias("relevance"), gate.alias("g")).select("query_id", "answer", "block_id", "relevance", "g.abstained", "g.reason", F.round("g.confidence", 6).alias("confidence"))
+    evidence = F.array_sort(F.collect_list(F.when(F.col("block_id").isNotNull(), F.struct("rank", "block_id", "text"))))  # at most five
+    each = best.groupBy("query_id", "round").agg(F.first("relevance").alias("relevance"), evidence.alias("e"))
+    kept = each.groupBy("query_id").agg(F.max_by(F.struct("relevance", "e"), F.struct("relevance", -F.col("round"))).alias("b"), F.sum(F.size("e")).alias("found"))
+    texts = F.transform("b.e", lambda x: F.coalesce(x["text"], F.lit("")))
+    kept = kept.select("query_id", "b", "found", texts.alias("texts")).withColumn("said", read(F.col("texts")))
+    faithful = reading.overlap_faithfulness(T.latin_tokens(F.coalesce("said", F.lit(""))), F.flatten(F.transform("texts", T.latin_tokens)))
+    gate = reading.gated(F.col("said"), F.col("found"), faithful, F.col("b.relevance"))
+    return kept.select("query_id", F.when(gate["abstained"], F.lit(None)).otherwise(F.col("said")).alias("answer"), F.get("b.e", F.lit(0))["block_id"].alias("block_id"), F.round("b.relevance", 6).alias("relevance"), gate.alias("g")).select("query_id", "answer", "block_id", "relevance", "g.abstained", "g.reason", F.round("g.confidence", 6).alias("confidence"))
 
 
 def investigate(questions: DataFrame, search: Search, plan: Callable[[DataFrame], DataFrame], steps: int = 4, patience: int = 2) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import chunks, cleaning, noisy_json, scripts
 from corpusloom.functions import text as T
-from corpusloom.operators import embedding, evaluation, fusion, generation, graph, keywords, lexical, models, questions, reading, similarity, stores
+from corpusloom.operators import answering, embedding, evaluation, fusion, generation, graph, keywords, lexical, models, questions, reading, similarity, stores
 from corpusloom.plans.jobs import Jobs
 from corpusloom.sources import convert, vector_store
 
@@ -347,3 +347,15 @@ def test_written_and_swept(spark):
     df = written(spark.range(5))
     assert df.count() == 5 and df.columns == ["id"]
     assert sweep(spark) == 1 and sweep(spark) == 0
+
+
+def test_ask_is_judged_by_its_evidence(spark):
+    q = spark.createDataFrame([("q", "who moves the index"), ("n", "nothing here")], "query_id string, query string")
+    hits = spark.createDataFrame([("q", "b1", "the night crew moves the index", 2.0, 1), ("q", "b2", "the index is moved at noon", 1.0, 2)], "query_id string, block_id string, text string, score double, rank int")
+    search = lambda asked: hits.join(asked.select("query_id"), "query_id")
+    got = {r.query_id: r for r in answering.ask(q, search).collect()}
+    assert (got["q"].answer, got["q"].block_id, got["q"].abstained) == ("the night crew moves the index", "b1", False) and got["n"].reason == "no candidates"
+    joined = {r.query_id: r for r in answering.ask(q, search, read=lambda t: F.array_join(t, " ")).collect()}
+    assert joined["q"].answer.endswith("at noon") and not joined["q"].abstained
+    made_up = {r.query_id: r for r in answering.ask(q, search, read=lambda t: F.lit("penguins ate every cable yesterday")).collect()}
+    assert made_up["q"].abstained and made_up["q"].reason == "unfaithful" and made_up["q"].answer is None
