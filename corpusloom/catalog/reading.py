@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import query
-from corpusloom.catalog.lexical import block_index, eval_queries
+from corpusloom.catalog.lexical import eval_queries
 from corpusloom.catalog.vectors import KNN, asked, vectors
 from corpusloom.functions import text as T
 from corpusloom.operators import answering, lexical, reading, similarity
@@ -11,6 +11,9 @@ from corpusloom.plans.lineage import written
 from corpusloom.sources.corpus import blocks, feedback
 from corpusloom.sources.tables import table
 
+#: Blocks found whose numbers may be sent to every executor; more are joined by a shuffle.
+SENT = 500_000
+
 
 def _top(spark, folder, k):
     return similarity.nearest(asked(spark, folder), vectors(spark, folder), k)
@@ -53,9 +56,17 @@ def op108(spark, folder):
 
 
 def _search(spark, folder):
-    index = written(block_index(spark, folder), "postings")
-    texts = blocks(spark, folder, "trusted_answer").select("block_id", F.col("trusted_answer").alias("text"))
-    return lambda q: lexical.search(q, index, 5, "query_id", "block_id", T.index_tokens(F.col("query"))).join(texts, "block_id")
+    b = blocks(spark, folder, "trusted_answer", "critical_question", "name", "keywords")
+    corpus = lexical.Corpus(b, "block_id", lexical.bag(F.col("trusted_answer"), F.col("critical_question"), F.col("name"), F.col("keywords")))
+    rows = table(spark, folder, "idea_blocks").select("block_id", F.col("trusted_answer").alias("text"))
+
+    def search(q):
+        found = written(corpus.search(q, 5, "query_id", T.index_tokens(F.col("query"))), "found")
+        ids = found.select("block_id").distinct()
+        texts = rows.join(F.broadcast(ids) if found.count() <= SENT else ids, "block_id", "left_semi").dropDuplicates(["block_id"])
+        return found.join(texts, "block_id")
+
+    return search
 
 
 @query("op109_batch_ask")

@@ -359,3 +359,35 @@ def test_ask_is_judged_by_its_evidence(spark):
     assert joined["q"].answer.endswith("at noon") and not joined["q"].abstained
     made_up = {r.query_id: r for r in answering.ask(q, search, read=lambda t: F.lit("penguins ate every cable yesterday")).collect()}
     assert made_up["q"].abstained and made_up["q"].reason == "unfaithful" and made_up["q"].answer is None
+
+
+def test_corpus_search_is_bm25(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 20)
+    monkeypatch.setattr(lexical, "SCORES", 100)
+    r = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{int(x)}" for x in r.zipf(1.6, n) % 25)
+    made = [text(n) for n in (1, 4, 9, 9, 20) * 12]
+    df = spark.createDataFrame([(f"b{n}-{c}", t) for n, t in enumerate(made) for c in range(3)] + [("empty", ""), ("null", None), (None, made[0])], "block_id string, t string")
+    q = spark.createDataFrame([(n, text(6)) for n in range(12)] + [(98, "unheard"), (99, "w1 w1 w2"), (None, "w2"), (97, None)], "query_id int, q string")
+    tokens = T.index_tokens(F.col("q"))
+    key = lambda x: (str(x.query_id), x.rank)
+    want = sorted(lexical.search(q, lexical.postings(df, "block_id", T.index_tokens(F.col("t"))), 4, "query_id", "block_id", tokens).collect(), key=key)
+    got = sorted(lexical.Corpus(df, "block_id", T.index_tokens(F.col("t"))).search(q, 4, "query_id", tokens).collect(), key=key)
+    assert len(got) > 40 and got == want
+    assert lexical.Corpus(df, "block_id", T.index_tokens(F.col("t"))).search(q.filter("query_id = 98"), 4, "query_id", tokens).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op109_batch_ask"])
+def test_searches_of_many_hits_shuffle_little(spark, tmp_path, name):
+    """What is shuffled follows the blocks and the answers, not the pairs of questions and blocks that share a word."""
+    from corpusloom import catalog
+
+    words = "the index of a cluster moves every night"
+    blocks = [(f"b{n}", f"{words} {n % 40}", "what moves", "index", ["cluster"]) for n in range(1500)]
+    spark.createDataFrame(blocks, "block_id string, trusted_answer string, critical_question string, name string, keywords array<string>").write.parquet(f"{tmp_path}/idea_blocks.parquet")
+    spark.createDataFrame([(n, f"{words} {n}", "") for n in range(200)], "item_id bigint, query string, reference string").write.parquet(f"{tmp_path}/eval_case.parquet")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    assert catalog.load()[0][name](spark, str(tmp_path)).select("query_id").distinct().count() == 200
+    time.sleep(1)
+    assert shuffled() - before < 1_000_000
