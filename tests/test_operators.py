@@ -377,7 +377,7 @@ def test_corpus_search_is_bm25(spark, monkeypatch):
     assert lexical.Corpus(df, "block_id", T.index_tokens(F.col("t"))).search(q.filter("query_id = 98"), 4, "query_id", tokens).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op109_batch_ask"])
+@pytest.mark.parametrize("name", ["op109_batch_ask", "op110_agent_evidence"])
 def test_searches_of_many_hits_shuffle_little(spark, tmp_path, name):
     """What is shuffled follows the blocks and the answers, not the pairs of questions and blocks that share a word."""
     from corpusloom import catalog
