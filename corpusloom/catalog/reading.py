@@ -8,8 +8,8 @@ from corpusloom.catalog.vectors import KNN, asked, vectors
 from corpusloom.functions import text as T
 from corpusloom.operators import answering, lexical, reading, similarity
 from corpusloom.plans.lineage import written
-from corpusloom.sources.corpus import blocks, feedback
-from corpusloom.sources.tables import table
+from corpusloom.sources.corpus import blocks, feedback, once
+from corpusloom.sources.tables import spread, table
 
 #: Blocks found whose numbers may be sent to every executor; more are joined by a shuffle.
 SENT = 500_000
@@ -55,16 +55,19 @@ def op108(spark, folder):
     return f.groupBy("feedback_id").agg(F.round(F.max(o), 6).alias("faithfulness"))
 
 
-def _search(spark, folder):
-    b = blocks(spark, folder, "trusted_answer", "critical_question", "name", "keywords")
-    corpus = lexical.Corpus(b, "block_id", lexical.bag(F.col("trusted_answer"), F.col("critical_question"), F.col("name"), F.col("keywords")))
+def _search(spark, folder, texts=True):
+    table_ = spread(table(spark, folder, "idea_blocks").select("block_id", "trusted_answer", "critical_question", "name", "keywords"))
+    corpus = lexical.Corpus(once(table_, "block_id"), "block_id", lexical.bag(F.col("trusted_answer"), F.col("critical_question"), F.col("name"), F.col("keywords")))
     rows = table(spark, folder, "idea_blocks").select("block_id", F.col("trusted_answer").alias("text"))
 
     def search(q):
-        found = written(corpus.search(q, 5, "query_id", T.index_tokens(F.col("query"))), "found")
+        found = corpus.search(q, 5, "query_id", T.index_tokens(F.col("query")))
+        if not texts:
+            return found
+        found = written(found, "found")
         ids = found.select("block_id").distinct()
-        texts = rows.join(F.broadcast(ids) if found.count() <= SENT else ids, "block_id", "left_semi").dropDuplicates(["block_id"])
-        return found.join(texts, "block_id")
+        read = rows.join(F.broadcast(ids) if found.count() <= SENT else ids, "block_id", "left_semi").dropDuplicates(["block_id"])
+        return found.join(read, "block_id")
 
     return search
 
@@ -82,7 +85,7 @@ def op110(spark, folder):
         half = F.ceil(F.size(words) / 2).cast("int")
         return active.select("query_id", F.array_join(F.slice(words, 1, half) if step % 2 == 0 else F.slice(words, half + 1, F.size(words)), " ").alias("query"))
 
-    return answering.investigate(eval_queries(spark, folder).select("query_id", "query"), _search(spark, folder), plan, steps=2)
+    return answering.investigate(eval_queries(spark, folder).select("query_id", "query"), _search(spark, folder, texts=False), plan, steps=2)
 
 
 @query("op110_evidence_merge", f"select query_id, block_id, score, rank from {KNN} where rank <= 20")

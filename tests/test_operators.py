@@ -1,6 +1,7 @@
 """Operators against plain restatements and edge cases."""
 
 import math
+import os
 import time
 
 import numpy as np
@@ -391,3 +392,26 @@ def test_searches_of_many_hits_shuffle_little(spark, tmp_path, name):
     assert catalog.load()[0][name](spark, str(tmp_path)).select("query_id").distinct().count() == 200
     time.sleep(1)
     assert shuffled() - before < 1_000_000
+
+
+def test_corpus_stores_only_what_is_asked_for(spark):
+    """Words that no question has aren't stored; a later search for them finds them all the same."""
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(f"b{n}", "the index " + " ".join(f"w{x}" for x in r.integers(0, 10**9, 200))) for n in range(400)] + [("late", "seldom the index")], "block_id string, t string")
+    corpus = lexical.Corpus(df, "block_id", T.index_tokens(F.col("t")))
+    ask = lambda text: corpus.search(spark.createDataFrame([(1, text)], "query_id int, q string"), 3, "query_id", T.index_tokens(F.col("q"))).collect()
+    assert [x.block_id for x in ask("the index")] == ["late", "b0", "b1"]
+    first = corpus.rows
+    assert sum(os.path.getsize(f.removeprefix("file://")) for f in first.inputFiles()) < 100_000
+    assert [x.block_id for x in ask("index")] == ["late", "b0", "b1"] and corpus.rows is first
+    assert [x.block_id for x in ask("seldom")] == ["late"] and [x.block_id for x in ask("the")] == ["late", "b0", "b1"]
+
+
+def test_once_shuffles_repeated_keys_only(spark, monkeypatch):
+    from corpusloom.sources import corpus
+
+    df = spark.createDataFrame([(f"k{n % 90}", "x" * 10) for n in range(100)] + [(None, "n"), (None, "n")], "id string, v string")
+    want = sorted(df.dropDuplicates(["id"]).collect(), key=str)
+    assert sorted(corpus.once(df, "id").collect(), key=str) == want
+    monkeypatch.setattr(corpus, "SENT", 3)
+    assert sorted(corpus.once(df, "id").collect(), key=str) == want
