@@ -7,7 +7,8 @@ Pivots are fixed, so that they hold for every batch to come: pivot 0 is the empt
 64*longs split all words by hash, the distance to pivot j being the words of class j (the distance to the nearest text without any). By
 the triangle inequality these distances differ in sum by at most the L1 distance of the two multisets, which is at most
 twice the metric; so the number of pivots whose distance has another parity is at most that as well. The parities of a row fit
-into `longs` 64-bit numbers, and a pair is pruned by two range bounds on pivot 0 and one count of bits, all inside the join.
+into `longs` 64-bit numbers, and a pair is pruned by two range bounds on pivot 0 and one count of bits, all inside the join. As
+the larger of two differences of n and m words is within the bound, their sum is at most twice the bound less |n - m|.
 
 These distances concentrate, as they do for any text: over a fifth of the words, no range of a single pivot separates
 anything (see the README for figures). Therefore the join is keyed besides: two contents within the bound share one of the
@@ -81,11 +82,11 @@ def _numbered(w: list[str]) -> np.ndarray:
     import xxhash
 
     seen: dict[str, int] = {}
-    out = np.empty(len(w), np.uint64)
-    for k, x in enumerate(w):
-        n = seen[x] = seen.get(x, 0) + 1
-        out[k] = xxhash.xxh3_64_intdigest(x, n)
-    return np.sort(out >> np.uint64(32)).astype(np.uint32)
+    get, digest, out = seen.get, xxhash.xxh3_64_intdigest, []
+    for x in w:
+        n = seen[x] = get(x, 0) + 1
+        out.append(digest(x, n) >> 32)
+    return np.sort(np.array(out, np.uint32))
 
 
 def features(rows: DataFrame, id_col: str, text_col: str, content: Callable[[str], str | None]) -> DataFrame:
@@ -227,11 +228,12 @@ class History:
         """The rows of the given batches."""
         return self.spark.table(self.tables[table]).filter(F.col("batch").isin(batches))
 
-    def _append(self, rows: DataFrame, table: str, batch: int) -> None:
+    def _append(self, rows: DataFrame, table: str, batch: int, placed: bool = False) -> None:
+        """placed: the rows are in a partition for each bucket already."""
         name = self.tables[table]
         by = ["key", "part"] if table == "postings" else ["class"]
         columns = [c for c in self.spark.table(name).columns if c != "batch"]
-        rows.repartition(self.buckets, *by).select(*columns).createOrReplaceTempView(f"{name}_more")
+        (rows if placed else rows.repartition(self.buckets, *by)).select(*columns).createOrReplaceTempView(f"{name}_more")
         self.spark.sql(f"insert overwrite table {name} partition (batch = {batch}) select * from {name}_more")  # this partition alone
         self.spark.catalog.dropTempView(f"{name}_more")
 
@@ -242,12 +244,14 @@ class History:
 
     def near(self, asking: DataFrame, stored: DataFrame, batch: int) -> DataFrame:
         """(a, b): each new class a with every class b that the keys, places and pivots don't tell apart; pairs of new ones once."""
-        bound = F.floor(F.greatest("n", "m") * SHARE + 1e-9).cast("int")
         apart = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, self.longs)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
-        other = stored.select("key", "part", F.col("class").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(self.longs)], F.col("batch").alias("of"))
-        left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
-        near = ((F.col("of") < batch) | (F.col("class") < F.col("b"))) & (left >= F.greatest("n", "m") - bound) & (apart <= 2 * bound)
-        return asking.join(other, ["key", "part"]).filter(near).select(F.col("class").alias("a"), "b").distinct()
+        # by row, as there are far more pairs: words that must be common at least, which never falls with the size, and words from the place on
+        least = (F.col("n") - F.floor(F.col("n") * SHARE + 1e-9)).cast("int")
+        own = asking.select("key", "part", F.col("class").alias("a"), "n", least.alias("need"), (F.col("n") - F.col("place")).alias("left"), *[f"p{k}" for k in range(self.longs)])
+        other = stored.select("key", "part", F.col("class").alias("b"), F.col("n").alias("m"), least.alias("must"), (F.col("n") - F.col("place")).alias("rest"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(self.longs)], F.col("batch").alias("of"))
+        # with enough words in common, n + m - 2 * greatest(need, must) at most are not
+        near = (F.col("left") >= F.col("must")) & (F.col("rest") >= F.col("need")) & ((F.col("of") < batch) | (F.col("a") < F.col("b"))) & (apart <= F.col("n") + F.col("m") - 2 * F.greatest("need", "must"))
+        return own.join(other, ["key", "part"]).filter(near).select("a", "b").distinct()
 
     def verified(self, pairs: DataFrame, batches: list[int]) -> DataFrame:
         """(a, b) whose true distance is within the bound. Few classes are sent to the stored ones, many are joined with them."""
@@ -272,7 +276,9 @@ class History:
         firsts = self._asked(heads, "class", self.stored("firsts", before)).select("class", "first")
         known = known.join(firsts, "class", "left").select("class", F.coalesce("first", "id").alias("known"))
         heads = written(heads.join(known, "class", "left"), "heads")
-        self._append(table.join(heads.filter("known is null").select("class", "id"), ["class", "id"], "left_semi"), "classes", number)
+        kept = heads.filter("known is null").select("class", F.col("id").alias("head"))  # its class's least id: an equality would be a key, and the words be sent twice
+        fresh = table.repartition(self.buckets, "class").join(kept.repartition(self.buckets, "class"), "class").filter("id <= head")
+        self._append(fresh, "classes", number, placed=True)
         fresh = self.stored("classes", [number])
         if not before:
             self._save(slot_counts(fresh, "tokens"), "order")
