@@ -53,6 +53,17 @@ def _units(column: pa.Array) -> np.ndarray:
     return (flat / np.linalg.norm(flat, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _cosines(column: pa.Array, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of rows, summed in 64 bits and then rounded: vectors of one direction have exactly 1, and tie, on any machine."""
+    v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    out = np.empty(len(a), np.float32)
+    for at in range(0, len(a), 20_000):
+        x, y = (v[i[at : at + 20_000]].astype(np.float64) for i in (a, b))
+        x, y = (m / np.abs(m).max(axis=1, keepdims=True) for m in (x, y))
+        out[at : at + 20_000] = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+    return np.minimum(out, np.float32(1))
+
+
 def routes(distinct: DataFrame) -> np.ndarray:
     """At most ROUTES unit vectors, about one for CELL rows: spherical k-means on a bounded sample, the rows of smallest hash."""
     n = distinct.count()
@@ -167,7 +178,8 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "block_id", vector_col
         same = np.array([place.get(h, -1) for h in heads[queries]], np.int64)
         best, score = _nearest(units[queries], units[data], same, table.column("own").to_numpy()[queries], lines, k)
         there = best >= 0
-        return pa.table({"head": pa.array(np.repeat(heads[queries], there.sum(axis=1)).tolist(), pa.string()), "near": pa.array(heads[data][best[there]].tolist(), pa.string()), "score": pa.array(score[there])})
+        asker, near = queries[np.nonzero(there)[0]], data[best[there]]
+        return pa.table({"head": pa.array(heads[asker].tolist(), pa.string()), "near": pa.array(heads[near].tolist(), pa.string()), "score": pa.array(_cosines(table.column("v").combine_chunks(), asker, near))})
 
     found = stored.unionByName(asks).groupBy("cell", "block", "group").applyInArrow(search, "head string, near string, score float")
     order = Window.partitionBy("head").orderBy(F.desc("score"), "near")

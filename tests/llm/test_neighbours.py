@@ -68,3 +68,11 @@ def test_empty_and_single(spark):
     df = spark.createDataFrame([("a", vectors(1, 1)[0].tolist(), 0.0)], SCHEMA)
     assert N.nearest(df.limit(0), 5).count() == 0
     assert N.nearest(df, 5).count() == 0
+
+
+def test_one_direction_is_a_tie(spark):
+    """Vectors that differ by their length alone have a cosine of exactly 1 and come in the order of their ids."""
+    m = vectors(40, 1, seed=3)
+    df = spark.createDataFrame([(f"{i:02}{c}", (f * v).tolist(), 0.0) for i, v in enumerate(m) for c, f in zip("abcd", (1, 2, 4, 8))], SCHEMA)
+    got = {(r.id, r.place): (r.neighbour, r.score) for r in N.nearest(df, 3).collect()}
+    assert got == {(f"{i:02}{c}", n + 1): (f"{i:02}{o}", 1.0) for i in range(40) for c in "abcd" for n, o in enumerate(x for x in "abcd" if x != c)}
