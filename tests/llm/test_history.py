@@ -176,8 +176,8 @@ def test_pairs_of_other_sizes_are_told_apart(spark, tmp_path, monkeypatch):
     """100 words and 85, of which 75 are common: 25 words apart; the sum of the differences is under twice the bound, but not by the 15 that the sizes differ."""
     rows, pairs = [], []
     for i in range(20):
-        w = [f"t{i}x{k}" for k in range(100)]
-        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:75], *(f"o{i}x{k}" for k in range(10))]))]
+        w = [*(f"t{i}x{k}" for k in range(75)), *(f"g{k}" for k in range(25))]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:75], *(f"h{k}" for k in range(10))]))]
     whole = H.History.near
     monkeypatch.setattr(H.History, "near", lambda *a: pairs.append(whole(*a)) or pairs[-1])
     store = H.History(spark, str(tmp_path), H.body_content, 8)
