@@ -7,20 +7,21 @@ Pivots are fixed, so that they hold for every batch to come: pivot 0 is the empt
 64*longs split all words by hash, the distance to pivot j being the words of class j (the distance to the nearest text without any). By
 the triangle inequality these distances differ in sum by at most the L1 distance of the two multisets, which is at most
 twice the metric; so the number of pivots whose distance has another parity is at most that as well. The parities of a row fit
-into `longs` 64-bit numbers, and a pair is pruned by two range bounds on pivot 0 and one count of bits, all inside the join. As
+into `longs` 64-bit numbers, and a pair is pruned by two range bounds on pivot 0 and one count of bits, without its words. As
 the larger of two differences of n and m words is within the bound, their sum is at most twice the bound less |n - m|.
 
 These distances concentrate, as they do for any text: over a fifth of the words, no range of a single pivot separates
 anything (see the README for figures). Therefore the join is keyed besides: two contents within the bound share one of the
 rarest SHARE of their words, in any fixed order of words (prefix filter, exact). The order is by how often a word's hash class
 of 2^CLASS_BITS occurs in the first batch, and kept with the history. By the place of the shared word in both orders a pair is pruned
-as well: no more words can be common than follow it.
+as well: no more words can be common than follow it. Postings of a word lie together in records of bytes, in order of size, so the join has one row
+for many of them, most pairs of other sizes are never made, and the rest are pruned in numpy.
 
 Equal multisets are one class, under their earliest row, before pairs are made; so copies aren't expanded into pairs.
 Surviving pairs are verified by their true distance. A row's first_id is the earliest row whose class is within the bound of its own.
 
 History keeps three tables in its folder, each stored in buckets by its key and sorted in them, one partition for each batch: classes (class,
-earliest id, words), firsts (of a class that is near an earlier one, that one's id) and postings (word, pivots of a class). A batch appends its new classes and joins its own postings with
+earliest id, words), firsts (of a class that is near an earlier one, that one's id) and postings (word; size, place and pivots of each class). A batch appends its new classes and joins its own postings with
 the stored ones bucket by bucket: the history is neither shuffled nor rewritten, its texts and words are never read for it. A
 batch of at most ASKED different words reads only the pages of the postings that hold them, and at most ASKED candidates only those of the classes.
 How many postings each word's hash class has is kept up to date with every batch. A class of words that has more than HOT is stored
@@ -55,6 +56,8 @@ ASKED = 2000
 SENT = 500_000
 #: Buckets of the stored tables: as many as tasks that join a batch. Rows of a page, the least that is read of a file.
 BUCKETS, PAGE = 16, 1000
+#: Postings of a word in one stored row; rows that a Python task makes at once; pairs that it looks at, at once.
+PACK, MADE, LOOKED = 1000, 100_000, 1_000_000
 
 
 def block_content(text: str) -> str | None:
@@ -134,8 +137,30 @@ def _dense(counts: DataFrame) -> np.ndarray:
     return out
 
 
+def _record(longs: int) -> np.dtype:
+    """A posting as it is stored: class, number of words, place of the word, parities."""
+    return np.dtype([("class", "<i8"), ("n", "<i4"), ("place", "<i4"), ("p", "<u8", (longs,))])
+
+
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie in data one after the other."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8))])
+
+
+def _unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The records in a column of binary values, and how many each value has."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind), np.diff(ends) // kind.itemsize
+
+
+def _within(n: np.ndarray) -> np.ndarray:
+    """Their places among themselves, for the elements of groups of the given sizes that lie one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def postings(table: DataFrame, order: np.ndarray, longs: int) -> DataFrame:
-    """(key, class, n, place, p0..): the rarest words of each class, as many as the bound needs, and their places in the order."""
+    """(class, n, keys array<int>, parity): the rarest words of each class, as many as the bound needs, by their places in the order."""
     shared = table.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,44 +168,101 @@ def postings(table: DataFrame, order: np.ndarray, longs: int) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
-                own = part.column("class").to_numpy()
                 n = pa.compute.list_value_length(part.column("tokens")).to_numpy()
                 tokens = part.column("tokens").flatten().to_numpy(zero_copy_only=False).view(np.uint32)
                 row = np.repeat(np.arange(len(n)), n)
                 pivots = np.bincount(row * (64 * longs) + tokens % np.uint32(64 * longs), minlength=len(n) * 64 * longs)
-                parity = np.packbits((pivots & 1).astype(np.uint8)).view(np.int64).reshape(-1, longs)
+                parity = np.packbits((pivots & 1).astype(np.uint8))
                 by = np.lexsort((tokens, often[tokens >> np.uint32(32 - CLASS_BITS)], row))  # by row, rarest first
-                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 need = n - np.array([math.ceil((1 - SHARE) * int(x) - 1e-9) for x in n]) + 1
-                take = place < need[row]
-                row, key, place = row[take], tokens[by[take]].view(np.int32), place[take]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(own[row]), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), *[pa.array(parity[row, k]) for k in range(longs)]],
-                    names=["key", "class", "n", "place", *[f"p{k}" for k in range(longs)]],
-                )
+                keys = tokens[by[_within(n) < need[row]]].view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(need))).astype(np.int32)), pa.array(keys))
+                ends = np.arange(1, len(n) + 1) * (8 * longs)
+                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(n.astype(np.int32)), lists, _binary(parity, ends)], names=["class", "n", "keys", "parity"])
 
-    schema = "key int, class bigint, n int, place int, " + ", ".join(f"p{k} bigint" for k in range(longs))
-    return table.select("class", "tokens").mapInArrow(run, schema)
+    return table.select("class", "tokens").mapInArrow(run, "class bigint, n int, keys array<int>, parity binary")
 
 
-def parted(keyed: DataFrame, counts: np.ndarray, asking: bool) -> DataFrame:
-    """With `part`: the part of a hot word that the row is stored in, or, asking, one row for each part there may be."""
-    parts = -(-counts // HOT)
-    if parts.max(initial=0) <= 1:
-        return keyed.withColumn("part", F.lit(0))
-    shared = keyed.sparkSession.sparkContext.broadcast(parts)
+def packed(keyed: DataFrame, counts: np.ndarray, longs: int, buckets: int, asking: bool) -> DataFrame:
+    """(key, part, rows): the postings of each word, by number of words in records of bytes; at most PACK in a row, so a word may have several.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A hot word's are in parts: in that by which the class is stored or, asking, in each part there may be.
+    """
+    shared, kind = keyed.sparkSession.sparkContext.broadcast(-(-counts // HOT)), _record(longs)
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                some = batch.slice(low, 1000)
+                each = pa.compute.list_value_length(some.column("keys")).to_numpy()
+                keys, row = some.column("keys").flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(each)), each)
+                one = np.zeros(len(each), kind)
+                one["class"], one["n"] = some.column("class").to_numpy(), some.column("n").to_numpy()
+                one["p"] = _unpacked(some.column("parity"), np.dtype("<u8"))[0].reshape(-1, longs)
+                place = _within(each)
+                parts = np.maximum(1, shared.value[keys.view(np.uint32) >> np.uint32(32 - CLASS_BITS)])
+                copies = parts if asking else np.ones(len(keys), np.int64)
+                ends = np.cumsum(copies)
+                cuts = [0, *np.searchsorted(ends, np.arange(MADE, copies.sum(), MADE)), len(keys)]
+                for a, b in zip(cuts, cuts[1:]):
+                    at = np.repeat(np.arange(a, b), copies[a:b])
+                    out = one[row[at]]
+                    out["place"] = place[at]
+                    part = _within(copies[a:b]) if asking else out["class"] % parts[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(part.astype(np.int32)), _binary(out, np.arange(1, len(at) + 1) * kind.itemsize)], names=["key", "part", "rows"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = np.maximum(1, shared.value[batch.column("key").to_numpy().view(np.uint32) >> np.uint32(32 - CLASS_BITS)])
-            if asking:
-                rows = np.repeat(np.arange(len(n)), n)
-                part = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-                yield from pa.Table.from_batches([batch.take(pa.array(rows))]).append_column("part", pa.array(part.astype(np.int32))).to_batches()
-            else:
-                yield from pa.Table.from_batches([batch]).append_column("part", pa.array((batch.column("class").to_numpy() % n).astype(np.int32))).to_batches()
+            if batch.num_rows:
+                rows, _ = _unpacked(batch.column("rows"), kind)
+                key, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
+                by = np.lexsort((rows["n"], part, key))
+                rows, key, part = rows[by], key[by], part[by]
+                starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
+                sizes = np.diff(np.append(starts, len(key)))
+                starts = np.flatnonzero(np.repeat(starts, sizes) + _within(sizes) // PACK * PACK == np.arange(len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(key[starts]), pa.array(part[starts]), _binary(rows, np.append(starts[1:], len(key)) * kind.itemsize)], names=["key", "part", "rows"])
+
+    schema = "key int, part int, rows binary"
+    return keyed.mapInArrow(single, schema).repartition(buckets, "key", "part").sortWithinPartitions("key", "part").mapInArrow(together, schema)
+
 
-    return keyed.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema) + ", part int")
+def alike(both: DataFrame, longs: int) -> DataFrame:
+    """(a, b) of rows (x, y, same): each posting of x with every one of y that sizes, places and pivots don't tell apart; same: of one batch, so each pair once."""
+    kind, apart_by = _record(longs), 1 << 32
+
+    def columns(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Class, words, words that must be common at least (which never falls with their number), words from the place on, parities."""
+        n = rows["n"].astype(np.int64)
+        return np.ascontiguousarray(rows["class"]), n, n - np.floor(n * SHARE + 1e-9).astype(np.int64), n - rows["place"], np.ascontiguousarray(rows["p"].T)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (x, each), (y, others) = _unpacked(batch.column("x"), kind), _unpacked(batch.column("y"), kind)
+            (a, n, need, left, p), (b, m, must, rest, q) = columns(x), columns(y)
+            of, at = np.repeat(np.arange(len(each)), each), np.repeat(np.arange(len(others)), others) * apart_by
+            earlier = ~batch.column("same").to_numpy(zero_copy_only=False).astype(bool)[of]
+            # y is in order of m in each row: left >= must, and m >= rest >= need
+            low = np.searchsorted(at + m, of * apart_by + need)
+            many = np.maximum(0, np.searchsorted(at + must, of * apart_by + left, "right") - low)
+            ends = np.cumsum(many)
+            cuts = [0, *np.searchsorted(ends, np.arange(LOOKED, many.sum(), LOOKED)), len(many)]
+            for s, e in zip(cuts, cuts[1:]):
+                i = np.repeat(np.arange(s, e), many[s:e])
+                j = np.repeat(low[s:e], many[s:e]) + _within(many[s:e])
+                keep = np.flatnonzero((rest[j] >= need[i]) & (earlier[i] | (a[i] < b[j])))
+                i, j = i[keep], j[keep]
+                # with enough words in common, n + m - 2 * the larger of need and must at most are not
+                free = n[i] + m[j] - 2 * np.maximum(need[i], must[j])
+                for k in range(longs):
+                    free -= np.bitwise_count(p[k][i] ^ q[k][j])
+                    keep = np.flatnonzero(free >= 0)
+                    i, j, free = i[keep], j[keep], free[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], names=["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 def had_before(rows: DataFrame, id_col: str, text_col: str, content: Callable[[str], str | None], longs: int) -> DataFrame:
@@ -194,14 +276,13 @@ class History:
 
     def __init__(self, spark, folder: str, content: Callable[[str], str | None], longs: int = 2, buckets: int | None = None):
         self.spark, self.folder, self.content, self.longs = spark, folder.rstrip("/"), content, longs
-        pivots = [f"p{k}" for k in range(longs)]
         name = uuid.uuid4().hex
         self.buckets = buckets or BUCKETS
         self.tables = {}
-        for table, columns, by in (("classes", "class bigint, id bigint, tokens array<int>", "class"), ("firsts", "class bigint, first bigint", "class"), ("postings", "key int, part int, class bigint, n int, place int, " + ", ".join(f"{p} bigint" for p in pivots), "key, part")):
+        for table, columns, by in (("classes", "class bigint, id bigint, tokens array<int>", "class"), ("firsts", "class bigint, first bigint", "class"), ("postings", "key int, part int, rows binary", "key, part")):
             self.tables[table] = f"history_{table}_{name}"
             clustered = f"clustered by ({by}) sorted by ({by.split(',')[0]}) into {self.buckets} buckets"
-            spark.sql(f"create table {self.tables[table]} ({columns}, batch int) using parquet options ('parquet.page.row.count.limit' '{PAGE}') partitioned by (batch) {clustered} location '{self.folder}/{table}'")
+            spark.sql(f"create table {self.tables[table]} ({columns}, batch int) using parquet options ('parquet.page.row.count.limit' '{PAGE}', 'parquet.enable.dictionary#rows' 'false') partitioned by (batch) {clustered} location '{self.folder}/{table}'")
             if self._there(table):
                 spark.catalog.recoverPartitions(self.tables[table])
 
@@ -243,15 +324,10 @@ class History:
         return stored.filter(F.col(column).isin([v[0] for v in values])) if len(values) <= ASKED else stored
 
     def near(self, asking: DataFrame, stored: DataFrame, batch: int) -> DataFrame:
-        """(a, b): each new class a with every class b that the keys, places and pivots don't tell apart; pairs of new ones once."""
-        apart = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, self.longs)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
-        # by row, as there are far more pairs: words that must be common at least, which never falls with the size, and words from the place on
-        least = (F.col("n") - F.floor(F.col("n") * SHARE + 1e-9)).cast("int")
-        own = asking.select("key", "part", F.col("class").alias("a"), "n", least.alias("need"), (F.col("n") - F.col("place")).alias("left"), *[f"p{k}" for k in range(self.longs)])
-        other = stored.select("key", "part", F.col("class").alias("b"), F.col("n").alias("m"), least.alias("must"), (F.col("n") - F.col("place")).alias("rest"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(self.longs)], F.col("batch").alias("of"))
-        # with enough words in common, n + m - 2 * greatest(need, must) at most are not
-        near = (F.col("left") >= F.col("must")) & (F.col("rest") >= F.col("need")) & ((F.col("of") < batch) | (F.col("a") < F.col("b"))) & (apart <= F.col("n") + F.col("m") - 2 * F.greatest("need", "must"))
-        return own.join(other, ["key", "part"]).filter(near).select("a", "b").distinct()
+        """(a, b): each new class a with every class b that the keys, sizes, places and pivots don't tell apart; pairs of new ones once."""
+        own, other = asking.select("key", "part", F.col("rows").alias("x")), stored.select("key", "part", F.col("rows").alias("y"), (F.col("batch") == batch).alias("same"))
+        alone = F.col("same") & (F.octet_length("x") == _record(self.longs).itemsize) & (F.col("x") == F.col("y"))  # a posting with itself
+        return alike(own.join(other, ["key", "part"]).filter(~alone).select("x", "y", "same"), self.longs).distinct()
 
     def verified(self, pairs: DataFrame, batches: list[int]) -> DataFrame:
         """(a, b) whose true distance is within the bound. Few classes are sent to the stored ones, many are joined with them."""
@@ -283,13 +359,15 @@ class History:
         if not before:
             self._save(slot_counts(fresh, "tokens"), "order")
         keyed = written(postings(fresh, self._counts("order"), self.longs), "postings")
-        added = slot_counts(keyed, "key")
+        added = slot_counts(keyed, "keys")
         counts = sum((self._counts(f"counts/batch-{n}") for n in before), added)
-        self._append(parted(keyed, counts, False), "postings", number)
-        asking = parted(keyed, counts, True)
+        self._append(packed(keyed, counts, self.longs, self.buckets, False), "postings", number, placed=True)
         if counts.max(initial=0) <= HOT:  # as they were stored: nothing is sent again
             asking = self.stored("postings", [number]).drop("batch")
-        pairs = written(self.near(asking, self._asked(keyed, "key", self.stored("postings", now)), number), "pairs")
+        else:
+            asking = packed(keyed, counts, self.longs, self.buckets, True)
+        keys = keyed.select(F.explode("keys").alias("key"))
+        pairs = written(self.near(asking, self._asked(keys, "key", self.stored("postings", now)), number), "pairs")
         close = written(self.verified(pairs, now), "near")
         either = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
         ids = self._asked(either.select(F.col("b").alias("class")), "class", self.stored("classes", now).select("class", F.col("id").alias("head")))

@@ -183,3 +183,15 @@ def test_pairs_of_other_sizes_are_told_apart(spark, tmp_path, monkeypatch):
     store = H.History(spark, str(tmp_path), H.body_content, 8)
     assert got(store.ingest(frame(spark, rows), "arrival_id", "body")) == brute([t for _, t in rows]) == set()
     assert pairs[0].count() <= 4
+
+
+def test_postings_of_a_word_lie_together(spark, tmp_path, monkeypatch):
+    texts = corpus(120, 8)
+    rows = lambda low, high: frame(spark, [(i, texts[i]) for i in range(low, high)])
+    for n, sizes in enumerate(({}, {"PACK": 2, "MADE": 7, "LOOKED": 5, "HOT": 10})):
+        for name, size in sizes.items():
+            monkeypatch.setattr(H, name, size)
+        store = _store(spark, tmp_path / str(n))
+        assert got(store.ingest(rows(0, 80), "arrival_id", "body")) | got(store.ingest(rows(80, 120), "arrival_id", "body")) == brute(texts)
+        stored = store.stored("postings", [0])
+        assert (stored.count() == stored.select("key", "part").distinct().count()) == (n == 0)
